@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The original project is a batch pipeline over one fixed extract: it has no
+watermark, window, session or state of any kind, so every job here is a
+batch DataFrame plan.  Nothing is emulated in this package.
+"""
