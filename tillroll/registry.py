@@ -13,9 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll import oracle
-from tillroll.plans import customers, geo_time, products_targets, sales, views
-from tillroll.sources.tables import build_star
+from tillroll import oracle, oracle_quality
+from tillroll.plans import cleaning, customers, geo_time, products_targets, quality, sales, views
+from tillroll.sources import sinks
+from tillroll.sources.staging import (ORDERS_CSV_HEADER, RAW_ORDERS_COLUMNS, RAW_TARGET_COLUMNS,
+                                      TARGET_CSV_HEADER, build_staging, read_text_csv,
+                                      write_text_csv)
+from tillroll.sources.tables import build_star, geography_reference
 
 # Fixed values for the driver tables: the product categories (last word of
 # the part name) in label order, and the category singled out by Q16 / Q38.
@@ -23,6 +27,9 @@ CATEGORIES = ("anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"
 FOCUS_CATEGORY = "gear"
 MIN_CITY_ORDERS = 10
 MIN_MIX_ORDERS = 10
+# Fiscal years (April-March) spanning the driver tables' order dates: the
+# window the load assertion A6 checks every parsed date against.
+PERIOD_START, PERIOD_END = "1994-04-01", "2002-03-31"
 
 
 def present(df: DataFrame) -> DataFrame:
@@ -114,10 +121,136 @@ def question_jobs() -> dict[str, Callable]:
     }
 
 
+def _stg_job(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return present(fn(build_staging(spark, sf_dir)))
+    run.__name__ = getattr(fn, "__name__", "job")
+    run.__doc__ = fn.__doc__
+    return run
+
+
+def _geo_job(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rules = quality.city_state_rules(geography_reference(spark, sf_dir))
+        return present(fn(build_staging(spark, sf_dir), rules))
+    run.__doc__ = fn.__doc__
+    return run
+
+
+def _csv_roundtrip(table: str, header, names) -> Callable[[SparkSession, str], DataFrame]:
+    """S1/S2 - write the staged file as a headed CSV, read it back as text."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        stg = build_staging(spark, sf_dir)
+        path = sinks.shared_dir(spark, table)
+        write_text_csv(getattr(stg, table), path, header)
+        return read_text_csv(spark, path, header, names)
+    return run
+
+
+def _sink_model(reloads: int) -> Callable[[SparkSession, str], DataFrame]:
+    """S5/S6 - populate the model from staging (``reloads`` times), read it back."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        star = cleaning.star_from_staging(build_staging(spark, sf_dir))
+        path = sinks.shared_dir(spark, "model")
+        for _ in range(reloads):
+            sinks.write_model(star, path)
+        return sinks.model_row_counts(sinks.read_model(spark, path))
+    return run
+
+
+def _sink_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 - the four exception feeds appended into one written log."""
+    rules = quality.city_state_rules(geography_reference(spark, sf_dir))
+    log = quality.exception_log(build_staging(spark, sf_dir), rules)
+    return sinks.write_log(log, sinks.shared_dir(spark, "dq_exceptions"))
+
+
+def _breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = quality.city_state_rules(geography_reference(spark, sf_dir))
+    return quality.exc_breakdown(quality.exception_log(build_staging(spark, sf_dir), rules))
+
+
+def _named_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S9 - the seven views registered by name and queried with SQL."""
+    star = build_star(spark, sf_dir)
+    named = {
+        "v_order_summary": views.order_summary(star),
+        "v_customer_metrics": views.customer_metrics(star),
+        "v_monthly_sales": views.monthly_sales(star),
+        "v_sub_category_performance": views.sub_category_performance(star),
+        "v_state_performance": views.state_performance(star),
+        "v_customer_rfm": views.customer_rfm(star),
+        "v_sales_vs_target": views.sales_vs_target(star),
+    }
+    for name, df in named.items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(" UNION ALL ".join(
+        f"SELECT '{name}' AS view_name, COUNT(*) AS row_count FROM {name}" for name in named))
+
+
+def _drop(fn, *cols):
+    def run(stg):
+        return fn(stg).drop(*cols)
+    run.__doc__ = fn.__doc__
+    return run
+
+
+def staging_jobs() -> dict[str, Callable]:
+    q, c = quality, cleaning
+    return {
+        "stage_raw_orders": _stg_job(lambda s: s.raw_orders),
+        "stage_raw_order_details": _stg_job(lambda s: s.raw_order_details),
+        "stage_raw_sales_target": _stg_job(lambda s: s.raw_sales_target),
+        "src_orders_csv": _csv_roundtrip("raw_orders", ORDERS_CSV_HEADER, RAW_ORDERS_COLUMNS),
+        "src_target_csv": _csv_roundtrip("raw_sales_target", TARGET_CSV_HEADER, RAW_TARGET_COLUMNS),
+        "sink_model": _sink_model(1),
+        "full_reload": _sink_model(2),
+        "sink_exceptions": _sink_exceptions,
+        "named_views": _named_views,
+        "dq_row_counts": _stg_job(q.dq_row_counts),
+        "dq_missing_scan": _stg_job(q.dq_missing_scan),
+        "dq_pk_unique": _stg_job(q.dq_pk_unique),
+        "dq_full_duplicates": _stg_job(q.dq_full_duplicates),
+        "dq_candidate_key": _stg_job(q.dq_candidate_key),
+        "dq_referential": _stg_job(q.dq_referential),
+        "dq_whitespace": _stg_job(q.dq_whitespace),
+        "dq_case_variants": _stg_job(q.dq_case_variants),
+        "dq_date_format_proof": _stg_job(q.dq_date_format_proof),
+        "dq_numeric_validity": _stg_job(q.dq_numeric_validity),
+        "dq_loss_exceeds_revenue": _stg_job(q.dq_loss_exceeds_revenue),
+        "dq_city_multi_state": _stg_job(q.dq_city_multi_state),
+        "dq_identity_ambiguity": _stg_job(q.dq_identity_ambiguity),
+        "dq_target_coverage": _stg_job(q.dq_target_coverage),
+        "dq_functional_dependency": _stg_job(q.dq_functional_dependency),
+        "dq_constraints": _stg_job(q.dq_constraints),
+        "exc_loss_exceeds_revenue": _stg_job(q.exc_loss_exceeds_revenue),
+        "exc_impossible_geo": _geo_job(q.exc_impossible_geo),
+        "exc_shared_geo": _geo_job(q.exc_shared_geo),
+        "exc_untrimmed": _stg_job(q.exc_untrimmed),
+        "exc_breakdown": _breakdown,
+        "build_dim_sub_category": _stg_job(c.build_dim_sub_category),
+        "build_dim_customer": _stg_job(_drop(c.build_dim_customer, "customer_id")),
+        "build_fact_orders": _stg_job(_drop(c.build_fact_orders, "customer_id")),
+        "build_fact_lines": _stg_job(c.build_fact_lines),
+        "build_fact_target": _stg_job(c.build_fact_target),
+        "assert_row_counts": _stg_job(q.assert_row_counts),
+        "assert_revenue_preserved": _stg_job(q.assert_revenue_preserved),
+        "assert_profit_preserved": _stg_job(q.assert_profit_preserved),
+        "assert_quantity_preserved": _stg_job(q.assert_quantity_preserved),
+        "assert_no_fanout": _stg_job(q.assert_no_fanout),
+        "assert_dates_in_range": _stg_job(
+            lambda s: q.assert_dates_in_range(s, PERIOD_START, PERIOD_END)),
+        "assert_target_categories": _stg_job(q.assert_target_categories),
+        "assert_identity_unique": _stg_job(q.assert_identity_unique),
+        "assert_no_untrimmed": _stg_job(q.assert_no_untrimmed),
+    }
+
+
 def all_jobs() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     jobs: dict[str, Callable] = {}
     jobs.update(view_jobs())
     jobs.update(question_jobs())
+    jobs.update(staging_jobs())
     return jobs
 
 
@@ -126,4 +259,5 @@ def all_oracle_sql() -> dict[str, str]:
     sql.update(oracle.views_sql())
     sql.update(oracle.questions_sql(list(CATEGORIES), FOCUS_CATEGORY, MIN_CITY_ORDERS,
                                     MIN_MIX_ORDERS))
+    sql.update(oracle_quality.staging_sql(PERIOD_START, PERIOD_END))
     return sql

@@ -155,3 +155,17 @@ def load_star(spark: SparkSession, model_dir: str) -> Star:
         return spark.read.parquet(f"{model_dir.rstrip('/')}/{name}")
     return Star(rd("dim_customer"), rd("dim_sub_category"), rd("fact_orders"),
                 rd("fact_order_lines"), rd("fact_sales_target"))
+
+
+def geography_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(city, state) pairs that exist: every nation's segment cities.
+
+    The rule table for the impossible-geography check (E2/E3); derived from
+    the customer and nation tables, i.e. a reference list of places.
+    """
+    cust = read_table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment")
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return (cust.join(nation, cust.c_nationkey == nation.n_nationkey)
+            .select(F.concat(F.col("n_name"), F.lit("/"), F.col("c_mktsegment")).alias("city"),
+                    F.col("n_name").alias("state"))
+            .distinct())
