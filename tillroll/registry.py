@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll import oracle, oracle_quality
-from tillroll.plans import cleaning, customers, geo_time, products_targets, quality, sales, views
+from tillroll import oracle, oracle_quality, oracle_validation
+from tillroll.plans import (cleaning, customers, geo_time, products_targets, quality, sales,
+                            validation, views)
 from tillroll.sources import sinks
 from tillroll.sources.staging import (ORDERS_CSV_HEADER, RAW_ORDERS_COLUMNS, RAW_TARGET_COLUMNS,
                                       TARGET_CSV_HEADER, build_staging, read_text_csv,
@@ -246,11 +247,62 @@ def staging_jobs() -> dict[str, Callable]:
     }
 
 
+def _val_job(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return present(fn(build_star(spark, sf_dir)))
+    run.__doc__ = fn.__doc__
+    return run
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = quality.city_state_rules(geography_reference(spark, sf_dir))
+    return validation.validation_results(build_star(spark, sf_dir), build_staging(spark, sf_dir),
+                                         rules)
+
+
+def _exception_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = quality.city_state_rules(geography_reference(spark, sf_dir))
+    return validation.val_exception_count(build_star(spark, sf_dir), build_staging(spark, sf_dir),
+                                          rules)
+
+
+def _sink_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S8 - all check rows appended into one written results table."""
+    return sinks.write_log(_results(spark, sf_dir), sinks.shared_dir(spark, "validation_results"))
+
+
+def validation_jobs() -> dict[str, Callable]:
+    v = validation
+    return {
+        "val_revenue_grains": _val_job(v.val_revenue_grains),
+        "val_profit_grains": _val_job(v.val_profit_grains),
+        "val_aov_two_ways": _val_job(v.val_aov_two_ways),
+        "val_counts": _val_job(v.val_counts),
+        "val_margin_ratio": _val_job(v.val_margin_ratio),
+        "val_running_total": _val_job(v.val_running_total),
+        "val_mom_hand": _val_job(v.val_mom_hand),
+        "val_first_mom_null": _val_job(v.val_first_mom_null),
+        "val_rfm_partition": _val_job(v.val_rfm_partition),
+        "val_rfm_range": _val_job(v.val_rfm_range),
+        "val_recency_direction": _val_job(v.val_recency_direction),
+        "val_target_grid_total": _val_job(v.val_target_grid_total),
+        "val_variance_rows": _val_job(v.val_variance_rows),
+        "val_shares_sum": _val_job(v.val_shares_sum),
+        "val_topn_bound": _val_job(v.val_topn_bound),
+        "val_referential": _val_job(v.val_referential),
+        "val_exception_count": _exception_count,
+        "val_verdict": lambda spark, sf: validation.validation_verdict(_results(spark, sf)),
+        "val_results": _results,
+        "sink_validation": _sink_validation,
+    }
+
+
 def all_jobs() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     jobs: dict[str, Callable] = {}
     jobs.update(view_jobs())
     jobs.update(question_jobs())
     jobs.update(staging_jobs())
+    jobs.update(validation_jobs())
     return jobs
 
 
@@ -260,4 +312,5 @@ def all_oracle_sql() -> dict[str, str]:
     sql.update(oracle.questions_sql(list(CATEGORIES), FOCUS_CATEGORY, MIN_CITY_ORDERS,
                                     MIN_MIX_ORDERS))
     sql.update(oracle_quality.staging_sql(PERIOD_START, PERIOD_END))
+    sql.update(oracle_validation.validation_sql())
     return sql
