@@ -45,9 +45,26 @@ def present(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+_MODELS: dict[tuple[str, str], object] = {}
+
+
+def model(spark: SparkSession, sf_dir: str):
+    """The modelled layer for ``sf_dir``: built from the driver tables once per
+    application, written (bucketed) to the shared checkpoint folder, and read
+    back by every analysis job - the load-once / query-many shape of the
+    original pipeline."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        tag = "tillroll_" + sinks.shared_dir(spark, "m").rsplit("-", 1)[-1]
+        _MODELS[key] = sinks.materialize_star(build_star(spark, sf_dir),
+                                              sinks.shared_dir(spark, "model"), buckets, tag)
+    return _MODELS[key]
+
+
 def _star_job(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return present(fn(build_star(spark, sf_dir)))
+        return present(fn(model(spark, sf_dir)))
     run.__name__ = getattr(fn, "__name__", "job")
     run.__doc__ = fn.__doc__
     return run
@@ -173,7 +190,7 @@ def _breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _named_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S9 - the seven views registered by name and queried with SQL."""
-    star = build_star(spark, sf_dir)
+    star = model(spark, sf_dir)
     named = {
         "v_order_summary": views.order_summary(star),
         "v_customer_metrics": views.customer_metrics(star),
@@ -249,20 +266,20 @@ def staging_jobs() -> dict[str, Callable]:
 
 def _val_job(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return present(fn(build_star(spark, sf_dir)))
+        return present(fn(model(spark, sf_dir)))
     run.__doc__ = fn.__doc__
     return run
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.city_state_rules(geography_reference(spark, sf_dir))
-    return validation.validation_results(build_star(spark, sf_dir), build_staging(spark, sf_dir),
+    return validation.validation_results(model(spark, sf_dir), build_staging(spark, sf_dir),
                                          rules)
 
 
 def _exception_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.city_state_rules(geography_reference(spark, sf_dir))
-    return validation.val_exception_count(build_star(spark, sf_dir), build_staging(spark, sf_dir),
+    return validation.val_exception_count(model(spark, sf_dir), build_staging(spark, sf_dir),
                                           rules)
 
 
