@@ -3,8 +3,8 @@
 Conventions (they keep results identical across engines):
 
 * money is summed as exact decimals and converted to double only at the end;
-* every ratio is ``round(100 * num / den, scale)`` in double arithmetic with a
-  NULL (not an error) for a zero denominator;
+* every percentage is ``round(100 * num / den, scale)``, half away from zero
+  on the exact value, NULL (not an error) for a zero denominator;
 * averages are ``round(sum / count, 2)`` in exact decimal arithmetic (money
   averages hit exact half-cent ties often; a double would round them down);
 * margin is always a ratio of totals, never a mean of row ratios.
@@ -30,8 +30,22 @@ def money(c: str | Column) -> Column:
 
 
 def ratio_pct(num: str | Column, den: str | Column, scale: int = 2) -> Column:
-    """round(100 * num / den, scale); NULL when den is 0 or NULL."""
-    return F.round(F.try_divide(F.lit(100.0) * dbl(num), dbl(den)), scale)
+    """round(100 * num / den, scale), half away from zero on the *exact* value;
+    NULL when den is 0 or NULL.  ``num`` and ``den`` are exact (decimal or
+    integer).
+
+    The quotient is taken in double; the one case a double can round the
+    wrong way - an exact half-way value such as 49.995, stored as
+    49.99499... - is detected with exact decimal multiplication (no
+    division) and rounded up in magnitude.
+    """
+    q = F.try_divide(F.lit(100.0) * dbl(num), dbl(den))
+    unit = 10 ** scale
+    m = F.floor(F.abs(q) * unit)
+    exact_num = F.abs(col(num).cast("decimal(38,4)")) * F.lit(200 * unit)
+    exact_half = (m * 2 + 1).cast("decimal(38,0)") * F.abs(col(den).cast("decimal(38,4)"))
+    tie = exact_num == exact_half
+    return F.when(tie, F.signum(q) * (m + 1) / unit).otherwise(F.round(q, scale))
 
 
 def margin_pct(profit: str | Column = "profit", revenue: str | Column = "revenue",

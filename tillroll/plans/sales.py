@@ -29,13 +29,22 @@ def _order_totals(star: Star) -> DataFrame:
 
 
 def kpi_summary(star: Star) -> DataFrame:
-    """Q1 - the business in one row; every figure from its own grain."""
+    """Q1 - the business in one row; every figure from its own grain.
+
+    Each grain is one aggregate returning a struct (a single scalar
+    subquery per grain; Spark reuses a subquery referenced twice).
+    """
     ot = _order_totals(star)
-    total_orders = ot.agg(F.count(F.lit(1))).scalar()
+    orders = ot.agg(F.struct(F.count(F.lit(1)).alias("n"),
+                             avg2("order_amount").alias("aov"),
+                             avg2("order_quantity").alias("aoq"))).scalar()
     total_customers = ot.select("customer_id").distinct().agg(F.count(F.lit(1))).scalar()
-    aov = ot.agg(avg2("order_amount")).scalar()
-    avg_qty = ot.agg(avg2("order_quantity")).scalar()
-    dc, ds, fo = star.dim_customer, star.dim_sub_category, star.fact_orders
+    places = star.dim_customer.agg(F.struct(F.count_distinct("state").alias("s"),
+                                            F.count_distinct("city").alias("c"))).scalar()
+    products = star.dim_sub_category.agg(F.struct(F.count_distinct("category").alias("c"),
+                                                  F.count(F.lit(1)).alias("s"))).scalar()
+    period = star.fact_orders.agg(F.struct(F.min("order_date").alias("a"),
+                                           F.max("order_date").alias("b"))).scalar()
     return star.fact_order_lines.agg(
         F.sum("amount").alias("total_revenue"),
         F.sum("profit").alias("total_profit"),
@@ -43,17 +52,17 @@ def kpi_summary(star: Star) -> DataFrame:
         F.sum("quantity").alias("total_quantity"),
     ).select(
         "total_revenue", "total_profit", "profit_margin_pct",
-        total_orders.alias("total_orders"),
+        orders["n"].alias("total_orders"),
         total_customers.alias("total_customers"),
         "total_quantity",
-        aov.alias("avg_order_value"),
-        avg_qty.alias("avg_order_quantity"),
-        dc.select("state").distinct().agg(F.count(F.lit(1))).scalar().alias("states_served"),
-        dc.select("city").distinct().agg(F.count(F.lit(1))).scalar().alias("cities_served"),
-        ds.select("category").distinct().agg(F.count(F.lit(1))).scalar().alias("categories"),
-        ds.agg(F.count(F.lit(1))).scalar().alias("sub_categories"),
-        fo.agg(F.min("order_date")).scalar().alias("period_start"),
-        fo.agg(F.max("order_date")).scalar().alias("period_end"),
+        orders["aov"].alias("avg_order_value"),
+        orders["aoq"].alias("avg_order_quantity"),
+        places["s"].alias("states_served"),
+        places["c"].alias("cities_served"),
+        products["c"].alias("categories"),
+        products["s"].alias("sub_categories"),
+        period["a"].alias("period_start"),
+        period["b"].alias("period_end"),
     )
 
 
