@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.measures import avg2, margin_pct, per, ratio_pct
+from tillroll.functions.measures import avg2, margin_pct, ratio_pct
 from tillroll.operators.ordering import N, RN, global_positions, ntile, rank_by, \
     value_histogram_positions
 from tillroll.plans.views import (CUSTOMER_TIEBREAK, customer_metrics, customer_rfm,
@@ -203,9 +203,12 @@ def first_vs_latest(star: Star, band: float = 0.20) -> DataFrame:
         F.col("l.d").alias("last_date"), F.col("l.v").alias("last_order_value"))
     up = F.lit(1 + band).cast("decimal(4,2)")
     down = F.lit(1 - band).cast("decimal(4,2)")
-    trend = (F.when(F.col("last_order_value") > F.col("first_order_value") * up, "Growing (>20% up)")
-             .when(F.col("last_order_value") < F.col("first_order_value") * down, "Declining (>20% down)")
-             .otherwise("Stable (within +/-20%)"))
+    p = round(band * 100)
+    trend = (F.when(F.col("last_order_value") > F.col("first_order_value") * up,
+                    f"Growing (>{p}% up)")
+             .when(F.col("last_order_value") < F.col("first_order_value") * down,
+                   f"Declining (>{p}% down)")
+             .otherwise(f"Stable (within +/-{p}%)"))
     return (b.groupBy(trend.alias("spend_trend")).agg(
         F.count(F.lit(1)).alias("customers"),
         avg2("first_order_value").alias("avg_first_order"),

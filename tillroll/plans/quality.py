@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tillroll.plans.cleaning import (build_dim_customer, build_dim_sub_category,
                                      build_fact_lines, build_fact_orders, build_fact_target)
 from tillroll.sources.staging import (RAW_DETAILS_COLUMNS, RAW_ORDERS_COLUMNS, Staging)
-from tillroll.sources.tables import MONEY, TARGET_MONEY
+from tillroll.sources.tables import MONEY
 from tillroll.functions.dates import parse_day_first
 
 # Patterns of a well-formed number in the text files (fixed values).

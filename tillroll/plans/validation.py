@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.functions.measures import avg2, per, ratio_pct
+from tillroll.functions.measures import avg2, ratio_pct
 from tillroll.plans import quality
 from tillroll.plans.customers import top3_per_state
 from tillroll.plans.views import (customer_metrics, customer_rfm, monthly_sales, order_summary,

@@ -99,8 +99,12 @@ def sub_category_performance(star: Star) -> DataFrame:
 
 def state_performance(star: Star) -> DataFrame:
     """W5 - one row per state, from W1 (line-less orders excluded)."""
-    orders = order_summary(star).join(
-        star.dim_customer.select("customer_id", "state"), "customer_id")
+    per_order = star.fact_order_lines.groupBy("order_id").agg(
+        F.sum("amount").alias("order_revenue"), F.sum("profit").alias("order_profit"),
+        F.sum("quantity").alias("order_quantity"))
+    # the (wide) order table already carries the customer's state
+    orders = per_order.join(star.orders_with_customer().select("order_id", "customer_id", "state"),
+                            "order_id")
     per_customer = orders.groupBy("state", "customer_id").agg(
         F.count(F.lit(1)).alias("o"), F.sum("order_revenue").alias("r"),
         F.sum("order_profit").alias("p"), F.sum("order_quantity").alias("u"))

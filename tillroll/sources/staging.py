@@ -21,9 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.sources.tables import (category_of, line_amount, line_profit, read_table,
-                                     source_orders_wide, targets_from_history,
-                                     sub_categories_sold, source_lines)
+from tillroll.sources.tables import (build_star, category_of, line_amount, line_profit,
+                                     read_table, source_orders_wide)
 
 RAW_ORDERS_COLUMNS = ("order_id", "order_date", "customer_name", "state", "city")
 RAW_DETAILS_COLUMNS = ("order_id", "amount", "profit", "quantity", "category", "sub_category")
@@ -69,9 +68,7 @@ def stage_raw_order_details(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_raw_sales_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = source_orders_wide(spark, sf_dir).select("order_id", "order_date")
-    lines_cat = source_lines(spark, sf_dir).join(sub_categories_sold(spark, sf_dir), "sub_category")
-    t = targets_from_history(orders, lines_cat)
+    t = build_star(spark, sf_dir).fact_sales_target
     return t.select(F.date_format("target_month", "MMM-yy").alias("month_of_order_date"),
                     "category", F.col("target_amount").cast("string").alias("target"))
 

@@ -116,22 +116,24 @@ def source_orders_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.withColumn("customer_id", customer_key("customer_name", "state", "city"))
 
 
-def sub_categories_sold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dim_sub_category: sub-categories that occur on order lines."""
-    sold = read_table(spark, sf_dir, "lineitem").select("l_partkey").distinct()
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    return (part.join(sold, part.p_partkey == sold.l_partkey, "left_semi")
-            .select(F.col("p_name").alias("sub_category"))
-            .distinct()
+def sub_categories_sold(lines: DataFrame) -> DataFrame:
+    """dim_sub_category: the sub-categories that occur on order lines.
+
+    Derived from the line fact's (low-cardinality) sub-category column: map-side
+    partial aggregation leaves at most one row per sub-category per task, so
+    the shuffle is negligible whatever the line count.
+    """
+    return (lines.select("sub_category").distinct()
             .withColumn("category", category_of(F.col("sub_category"))))
 
 
 def targets_from_history(fact_orders: DataFrame, lines_cat: DataFrame,
                          lag_months: int = TARGET_LAG_MONTHS) -> DataFrame:
     """Targets = revenue of the same month and category ``lag_months`` earlier."""
-    monthly = (lines_cat.join(fact_orders, "order_id")
+    per_order = lines_cat.groupBy("order_id", "category").agg(F.sum("amount").alias("rev"))
+    monthly = (per_order.join(fact_orders, "order_id")
                .groupBy(month_start("order_date").alias("m"), "category")
-               .agg(F.sum("amount").alias("rev")))
+               .agg(F.sum("rev").alias("rev")))
     return monthly.select(
         F.add_months("m", lag_months).alias("target_month"),
         "category",
@@ -139,22 +141,17 @@ def targets_from_history(fact_orders: DataFrame, lines_cat: DataFrame,
     )
 
 
-def build_star(spark: SparkSession, sf_dir: str) -> Star:
-    wide = source_orders_wide(spark, sf_dir)
-    fact_orders = wide.select("order_id", "customer_id", "order_date")
-    dim_customer = wide.select("customer_id", "customer_name", "state", "city").distinct()
-    lines = source_lines(spark, sf_dir)
-    dim_sub = sub_categories_sold(spark, sf_dir)
+def star_from_facts(orders_wide: DataFrame, lines: DataFrame) -> Star:
+    """The star around two facts: dimensions and targets are derived from them."""
+    fact_orders = orders_wide.select("order_id", "customer_id", "order_date")
+    dim_customer = orders_wide.select("customer_id", "customer_name", "state", "city").distinct()
+    dim_sub = sub_categories_sold(lines)
     targets = targets_from_history(fact_orders, lines.join(dim_sub, "sub_category"))
-    return Star(dim_customer, dim_sub, fact_orders, lines, targets, wide)
+    return Star(dim_customer, dim_sub, fact_orders, lines, targets, orders_wide)
 
 
-def load_star(spark: SparkSession, model_dir: str) -> Star:
-    """Read a star previously written by ``sinks.write_model``."""
-    def rd(name):
-        return spark.read.parquet(f"{model_dir.rstrip('/')}/{name}")
-    return Star(rd("dim_customer"), rd("dim_sub_category"), rd("fact_orders"),
-                rd("fact_order_lines"), rd("fact_sales_target"))
+def build_star(spark: SparkSession, sf_dir: str) -> Star:
+    return star_from_facts(source_orders_wide(spark, sf_dir), source_lines(spark, sf_dir))
 
 
 def geography_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
