@@ -55,10 +55,9 @@ def model(spark: SparkSession, sf_dir: str):
     original pipeline."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         tag = "tillroll_" + sinks.shared_dir(spark, "m").rsplit("-", 1)[-1]
         _MODELS[key] = sinks.materialize_star(build_star(spark, sf_dir),
-                                              sinks.shared_dir(spark, "model"), buckets, tag)
+                                              sinks.shared_dir(spark, "model"), None, tag)
     return _MODELS[key]
 
 

@@ -54,7 +54,27 @@ def model_row_counts(star: Star) -> DataFrame:
     return out
 
 
-def materialize_star(star: Star, path: str, buckets: int, tag: str) -> Star:
+TARGET_BUCKET_BYTES = 256 * 1024 * 1024
+MAX_BUCKETS = 65536
+
+
+def bucket_count(df: DataFrame, target_bytes: int = TARGET_BUCKET_BYTES,
+                 cap: int = MAX_BUCKETS) -> int:
+    """Buckets for a fact: ~``target_bytes`` each by the optimizer's size
+    estimate, at least the cluster's default parallelism, at most ``cap``."""
+    spark = df.sparkSession
+    floor = spark.sparkContext.defaultParallelism
+    configured = spark.conf.get("spark.tillroll.model.buckets", None)
+    if configured:
+        return int(configured)
+    try:
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - an estimate only; fall back to parallelism
+        return floor
+    return max(floor, min(cap, -(-size // target_bytes)))
+
+
+def materialize_star(star: Star, path: str, buckets: int | None, tag: str) -> Star:
     """Write the model once and return the star read back from storage.
 
     Lines and orders are bucketed on ``order_id`` into the same number of
@@ -64,9 +84,12 @@ def materialize_star(star: Star, path: str, buckets: int, tag: str) -> Star:
     (customer attributes included): a column scan of it costs the same as a
     narrow table and spares the order-grain join to the customer dimension.
     Dimensions and targets are then derived from the *stored* facts (cheap,
-    bucketed) and written as plain Parquet.
+    bucketed) and written as plain Parquet.  ``buckets=None`` sizes the
+    buckets from the data (``bucket_count``).
     """
     spark = star.fact_orders.sparkSession
+    if buckets is None:
+        buckets = bucket_count(star.fact_order_lines)
 
     def bucketed(df: DataFrame, name: str) -> DataFrame:
         table = f"{tag}_{name}"
