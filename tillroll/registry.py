@@ -7,6 +7,7 @@ part of any compared output (natural keys are).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,7 +56,7 @@ def model(spark: SparkSession, sf_dir: str):
     original pipeline."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        tag = "tillroll_" + sinks.shared_dir(spark, "m").rsplit("-", 1)[-1]
+        tag = f"tillroll_{uuid.uuid4().hex[:12]}"
         _MODELS[key] = sinks.materialize_star(build_star(spark, sf_dir),
                                               sinks.shared_dir(spark, "model"), None, tag)
     return _MODELS[key]
