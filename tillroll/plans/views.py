@@ -29,25 +29,41 @@ def snapshot_date(star: Star, snapshot: str | None = None) -> Column:
     return star.fact_orders.agg(F.max("order_date")).scalar()
 
 
-def order_summary(star: Star) -> DataFrame:
-    """W1 - one row per order that has lines (inner join)."""
-    per_order = star.fact_order_lines.groupBy("order_id").agg(
+def _order_values(star: Star) -> DataFrame:
+    """Line measures per order (bucketed on order id in the stored model: no shuffle)."""
+    return star.fact_order_lines.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("line_count"),
         F.sum("amount").alias("order_revenue"),
         F.sum("profit").alias("order_profit"),
         F.sum("quantity").alias("order_quantity"),
     )
-    return star.fact_orders.join(per_order, "order_id").select(
-        "order_id", "customer_id", "order_date",
+
+
+def order_summary(star: Star, with_customer: bool = False) -> DataFrame:
+    """W1 - one row per order that has lines (inner join).
+
+    ``with_customer`` adds the customer's name, state and city from the (wide)
+    order table, for jobs that group by them.
+    """
+    orders = star.orders_with_customer() if with_customer else star.fact_orders
+    extra = ["customer_name", "state", "city"] if with_customer else []
+    return orders.join(_order_values(star), "order_id").select(
+        "order_id", "customer_id", *extra, "order_date",
         month_start("order_date").alias("month_start"),
         "line_count", "order_revenue", "order_profit", "order_quantity",
     )
 
 
 def customer_metrics(star: Star, snapshot: str | None = None) -> DataFrame:
-    """W2 - one row per customer with at least one order with lines."""
+    """W2 - one row per customer with at least one order with lines.
+
+    The customer's attributes ride along from the wide order table, so the
+    per-customer aggregate needs no join back to the dimension (they are
+    functionally dependent on the customer key).
+    """
     snap = snapshot_date(star, snapshot)
-    per_customer = order_summary(star).groupBy("customer_id").agg(
+    per_customer = order_summary(star, with_customer=True).groupBy(
+        "customer_id", "customer_name", "state", "city").agg(
         F.count(F.lit(1)).alias("order_count"),
         F.sum("order_revenue").alias("total_revenue"),
         F.sum("order_profit").alias("total_profit"),
@@ -56,7 +72,7 @@ def customer_metrics(star: Star, snapshot: str | None = None) -> DataFrame:
         F.min("order_date").alias("first_order_date"),
         F.max("order_date").alias("last_order_date"),
     )
-    return per_customer.join(star.dim_customer, "customer_id").select(
+    return per_customer.select(
         "customer_id", "customer_name", "state", "city",
         "order_count", "total_revenue", "total_profit", "total_quantity", "avg_order_value",
         "first_order_date", "last_order_date",
@@ -99,12 +115,8 @@ def sub_category_performance(star: Star) -> DataFrame:
 
 def state_performance(star: Star) -> DataFrame:
     """W5 - one row per state, from W1 (line-less orders excluded)."""
-    per_order = star.fact_order_lines.groupBy("order_id").agg(
-        F.sum("amount").alias("order_revenue"), F.sum("profit").alias("order_profit"),
-        F.sum("quantity").alias("order_quantity"))
     # the (wide) order table already carries the customer's state
-    orders = per_order.join(star.orders_with_customer().select("order_id", "customer_id", "state"),
-                            "order_id")
+    orders = order_summary(star, with_customer=True)
     per_customer = orders.groupBy("state", "customer_id").agg(
         F.count(F.lit(1)).alias("o"), F.sum("order_revenue").alias("r"),
         F.sum("order_profit").alias("p"), F.sum("order_quantity").alias("u"))

@@ -89,7 +89,7 @@ def _star_job(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _order_summary_named(star):
-    return views.order_summary(star).join(star.dim_customer, "customer_id").select(
+    return views.order_summary(star, with_customer=True).select(
         "order_id", "order_date", "month_start", "customer_name", "state", "city",
         "line_count", "order_revenue", "order_profit", "order_quantity")
 
