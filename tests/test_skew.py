@@ -75,3 +75,18 @@ def test_hot_customer_spread_over_partitions(spark, hot_star):
 def test_first_vs_latest_single_aggregation(hot_star):
     fv = {r.spend_trend: r.customers for r in customers.first_vs_latest(hot_star).collect()}
     assert sum(fv.values()) == 98                          # every customer is a repeat customer
+
+
+def test_group_extent_blockwise_join_is_exact(hot_star):
+    from tillroll.operators.ordering import RN, global_positions, group_extent
+    os = views.order_summary(hot_star).select("customer_id", "order_date", "order_id")
+    pos = global_positions(os, ["customer_id", "order_date", "order_id"])
+    got = group_extent(pos, ["customer_id"], block_rows=37)   # the hot customer spans ~27 blocks
+    assert got.count() == N_ORDERS                             # each row matched exactly once
+    ref = os.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
+    bad = got.join(ref, "customer_id").filter(F.col("_g_rows") != F.col("n"))
+    assert bad.count() == 0
+    w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
+    seq = got.select("order_id", (F.col(RN) - F.col("_g_first") + 1).alias("s"))
+    plain = os.select("order_id", F.row_number().over(w).alias("s0"))
+    assert seq.join(plain, "order_id").filter(F.col("s") != F.col("s0")).count() == 0

@@ -119,15 +119,39 @@ def ntile(rn: str | Column, n: str | Column, buckets: int) -> Column:
     return F.when(rn <= big, in_big).otherwise(in_small).cast("bigint")
 
 
-def rank_by(df_with_rn: DataFrame, value_cols: Sequence[str], name: str = "rank") -> DataFrame:
-    """RANK: the smallest position among rows sharing the ordering value.
+BLOCK_ROWS = 1 << 20
+
+
+def group_extent(df_with_rn: DataFrame, keys: Sequence[str], block_rows: int = BLOCK_ROWS,
+                 prefix: str = "_g") -> DataFrame:
+    """Attach ``<prefix>_first``, ``<prefix>_last`` (positions) and
+    ``<prefix>_rows`` of each row's group, for groups that are contiguous in
+    the global order (the sort key starts with the group key).
 
-    One pre-aggregated ``groupBy(value)`` joined back on the value; a value
-    shared by a large fraction of the rows is a skewed join key, which AQE's
-    skew-join handling splits.
+    The summary is one pre-aggregated row per group.  Joining it back on the
+    key alone would send a group holding a third of all rows to one task, so
+    rows are matched on (key, position // block_rows) and each summary row is
+    replicated once per block its group spans: a hot group is spread over
+    ``rows / block_rows`` tasks, and the replication adds at most one row per
+    group plus one per block.
     """
-    firsts = df_with_rn.groupBy(*value_cols).agg(F.min(RN).alias(name))
-    return df_with_rn.join(firsts, list(value_cols))
+    keys = list(keys)
+    b = F.lit(block_rows).cast("bigint")
+    ext = df_with_rn.groupBy(*keys).agg(F.min(RN).alias(f"{prefix}_first"),
+                                        F.max(RN).alias(f"{prefix}_last"),
+                                        F.count(F.lit(1)).alias(f"{prefix}_rows"))
+    blk = "_blk"
+    ext = ext.withColumn(blk, F.explode(F.sequence(F.floor(F.col(f"{prefix}_first") / b),
+                                                   F.floor(F.col(f"{prefix}_last") / b))))
+    rows = df_with_rn.withColumn(blk, F.floor(F.col(RN) / b))
+    return rows.join(ext, [*keys, blk]).drop(blk)
+
+
+def rank_by(df_with_rn: DataFrame, value_cols: Sequence[str], name: str = "rank") -> DataFrame:
+    """RANK: the first position among rows sharing the ordering value (the
+    order must start with ``value_cols``, so equal values are contiguous)."""
+    out = group_extent(df_with_rn, value_cols, prefix="_v")
+    return out.withColumnRenamed("_v_first", name).drop("_v_last", "_v_rows")
 
 
 def value_histogram_positions(df: DataFrame, value: str) -> DataFrame:
@@ -135,7 +159,9 @@ def value_histogram_positions(df: DataFrame, value: str) -> DataFrame:
 
     Rows sharing a value occupy the consecutive positions first_rn..last_rn
     whatever the tie-break; only the histogram (one row per distinct value)
-    is ordered, so this fits keys with a small domain.
+    is ordered, so this fits keys with a small domain - e.g. per-customer
+    order counts: D distinct counts need at least 1 + 2 + ... + D orders, so
+    D <= sqrt(2N) for N orders.
     """
     hist = df.groupBy(value).agg(F.count(F.lit(1)).alias("cnt"))
     upto = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.measures import avg2, margin_pct, ratio_pct
-from tillroll.operators.ordering import N, RN, global_positions, ntile, rank_by, \
-    value_histogram_positions
+from tillroll.operators.ordering import (N, RN, global_positions, group_extent, ntile, rank_by,
+                                        value_histogram_positions)
 from tillroll.plans.views import (CUSTOMER_TIEBREAK, customer_metrics, customer_rfm,
                                   order_summary)
 from tillroll.sources.tables import Star
@@ -164,14 +164,15 @@ def order_sequence(star: Star) -> DataFrame:
     a customer with a huge history is spread over many range partitions -
     instead of a per-customer window that would put that customer in one
     task.  LAG/LEAD are the global neighbours when they belong to the same
-    customer.
+    customer; each customer's first position and order count are joined back
+    block-wise (``group_extent``), so the hot customer stays spread out.
     """
     os = order_summary(star).select("customer_id", "order_id", "order_date", "order_revenue")
     pos = global_positions(os, ["customer_id", "order_date", "order_id"],
                            neighbours=["customer_id", "order_revenue", "order_date"])
-    per_cust = pos.groupBy("customer_id").agg(F.min(RN).alias("_first"),
-                                              F.count(F.lit(1)).alias("lifetime_orders"))
-    seq = pos.join(per_cust, "customer_id").withColumn("seq", F.col(RN) - F.col("_first") + 1)
+    seq = (group_extent(pos, ["customer_id"], prefix="_c")
+           .withColumnRenamed("_c_rows", "lifetime_orders")
+           .withColumn("seq", F.col(RN) - F.col("_c_first") + 1))
     same_prev = F.col("prev_customer_id") == F.col("customer_id")
     same_next = F.col("next_customer_id") == F.col("customer_id")
     seq = seq.select(
