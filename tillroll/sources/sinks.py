@@ -61,9 +61,9 @@ MAX_BUCKETS = 65536
 def bucket_count(df: DataFrame, target_bytes: int = TARGET_BUCKET_BYTES,
                  cap: int = MAX_BUCKETS) -> int:
     """Buckets for a fact: ~``target_bytes`` each by the optimizer's size
-    estimate, at least the cluster's default parallelism, at most ``cap``."""
+    estimate, at least twice the default parallelism, at most ``cap``."""
     spark = df.sparkSession
-    floor = spark.sparkContext.defaultParallelism
+    floor = 2 * spark.sparkContext.defaultParallelism
     configured = spark.conf.get("spark.tillroll.model.buckets", None)
     if configured:
         return int(configured)
