@@ -90,3 +90,17 @@ def test_group_extent_blockwise_join_is_exact(hot_star):
     seq = got.select("order_id", (F.col(RN) - F.col("_g_first") + 1).alias("s"))
     plain = os.select("order_id", F.row_number().over(w).alias("s0"))
     assert seq.join(plain, "order_id").filter(F.col("s") != F.col("s0")).count() == 0
+
+
+def test_skew_split_join_is_exact_and_broadcasts_heavy_keys(spark):
+    from tillroll.operators.joins import heavy_keys, skew_split_join
+    big = spark.range(0, 20000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id") % 701).alias("k"),
+        F.col("id").alias("v"))
+    dim = spark.range(0, 701).select(F.col("id").alias("dk"), (F.col("id") * 10).alias("w"))
+    hot = {r.k for r in heavy_keys(big, ["k"], fraction=0.01, sample=0.05).collect()}
+    assert 5 in hot and len(hot) <= 200
+    got = skew_split_join(big, dim, ["k"], ["dk"], fraction=0.01, sample=0.05)
+    ref = big.join(dim, big.k == dim.dk)
+    assert got.count() == ref.count() == 20000
+    assert got.exceptAll(ref.select(*got.columns)).count() == 0

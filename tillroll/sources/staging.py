@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.operators.joins import skew_split_join
 from tillroll.sources.tables import (build_star, category_of, line_amount, line_profit,
                                      read_table, source_orders_wide)
 
@@ -56,7 +57,7 @@ def stage_raw_order_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    j = li.join(part, li.l_partkey == part.p_partkey)
+    j = skew_split_join(li, part, ["l_partkey"], ["p_partkey"])
     return j.select(
         F.col("l_orderkey").cast("string").alias("order_id"),
         line_amount(F.col("l_extendedprice"), F.col("l_discount")).cast("string").alias("amount"),
