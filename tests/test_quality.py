@@ -13,29 +13,29 @@ from tillroll.sources.literal import staging_from_rows
 from tillroll.sources.staging import (ORDERS_CSV_HEADER, RAW_ORDERS_COLUMNS, read_text_csv)
 
 ORDERS = [
-    ("B-1", "01-04-2018", "Asha", "Kerala ", "Kochi"),
-    ("B-2", "15-05-2018", "Asha", "Kerala ", "Kochi"),
-    ("B-3", "31-02-2018", "Ravi", "Delhi", "Delhi"),
-    ("B-4", "13-06-2018", "Ravi", "Madhya Pradesh", "Delhi"),
-    ("B-5", "02-07-2018", "Mona", "Punjab", "Chandigarh"),
-    ("B-6", "03-07-2018", "Mona", "Haryana", "Chandigarh"),
-    ("B-7", "04-07-2018", "Kiran", "delhi", "Delhi"),
-    ("B-8", "05-07-2018", "Kiran", "Delhi", "Delhi"),
-    ("B-8", "05-07-2018", "Kiran", "Delhi", "Delhi"),
+    ("B-1", "01-04-2018", "Ana", "Alba ", "Port Alba"),
+    ("B-2", "15-05-2018", "Ana", "Alba ", "Port Alba"),
+    ("B-3", "31-02-2018", "Ben", "Corvin", "Corvin"),
+    ("B-4", "13-06-2018", "Ben", "Dunmore", "Corvin"),
+    ("B-5", "02-07-2018", "Cleo", "Elster", "Twinford"),
+    ("B-6", "03-07-2018", "Cleo", "Fennick", "Twinford"),
+    ("B-7", "04-07-2018", "Dev", "corvin", "Corvin"),
+    ("B-8", "05-07-2018", "Dev", "Corvin", "Corvin"),
+    ("B-8", "05-07-2018", "Dev", "Corvin", "Corvin"),
 ]
 DETAILS = [
-    ("B-1", "100.00", "-150.00", "2", "Furniture", "Tables"),
-    ("B-1", "50.00", "5.00", "1", "Clothing", "Saree"),
-    ("B-1", "50.00", "5.00", "1", "Clothing", "Saree"),
-    ("B-2", "abc", "0.00", "1", "Electronics", "Phones"),
-    ("B-3", "20.00", "2.00", "x", "Electronics", "Phones"),
-    ("B-9", "10.00", "1.00", "1", "Clothing ", "Saree"),
-    ("B-4", "-5.00", "1.00", "0", "Clothing", "Saree"),
+    ("B-1", "100.00", "-150.00", "2", "Furnishings", "Desks"),
+    ("B-1", "50.00", "5.00", "1", "Apparel", "Scarves"),
+    ("B-1", "50.00", "5.00", "1", "Apparel", "Scarves"),
+    ("B-2", "abc", "0.00", "1", "Gadgets", "Radios"),
+    ("B-3", "20.00", "2.00", "x", "Gadgets", "Radios"),
+    ("B-9", "10.00", "1.00", "1", "Apparel ", "Scarves"),
+    ("B-4", "-5.00", "1.00", "0", "Apparel", "Scarves"),
 ]
 TARGETS = [
-    ("Apr-18", "Furniture", "1000"),
-    ("May-18", "Clothing", "500"),
-    ("Jan-75", "Clothing", "10"),
+    ("Apr-18", "Furnishings", "1000"),
+    ("May-18", "Apparel", "500"),
+    ("Jan-75", "Apparel", "10"),
     ("Feb-19", "Toys", "30"),
 ]
 
@@ -48,8 +48,8 @@ def stg(spark):
 @pytest.fixture(scope="module")
 def rules(spark):
     return spark.createDataFrame(
-        [("Delhi", "Delhi"), ("Chandigarh", "Punjab"), ("Chandigarh", "Haryana"),
-         ("Kochi", "Kerala")], "city string, state string")
+        [("Corvin", "Corvin"), ("Twinford", "Elster"), ("Twinford", "Fennick"),
+         ("Port Alba", "Alba")], "city string, state string")
 
 
 def one(df):
@@ -83,9 +83,9 @@ def test_missing_scan_counts_null_and_empty(spark):
 
 def test_text_hygiene(stg):
     ws = {(r.column_name, r.raw_value): r.rows_affected for r in quality.dq_whitespace(stg).collect()}
-    assert ws == {("state", "Kerala "): 2, ("category", "Clothing "): 1}
+    assert ws == {("state", "Alba "): 2, ("category", "Apparel "): 1}
     cv = quality.dq_case_variants(stg).collect()
-    assert [(r.normalised, r.variant_count, r.variants) for r in cv] == [("delhi", 2, "Delhi,delhi")]
+    assert [(r.normalised, r.variant_count, r.variants) for r in cv] == [("corvin", 2, "Corvin,corvin")]
 
 
 def test_dates_and_numbers(stg):
@@ -103,8 +103,8 @@ def test_dates_and_numbers(stg):
 
 def test_geography_identity_targets(stg):
     cities = {r.city: (r.state_count, r.states) for r in quality.dq_city_multi_state(stg).collect()}
-    assert cities == {"Delhi": (3, "Delhi,Madhya Pradesh,delhi"),
-                      "Chandigarh": (2, "Haryana,Punjab")}
+    assert cities == {"Corvin": (3, "Corvin,Dunmore,corvin"),
+                      "Twinford": (2, "Elster,Fennick")}
     assert one(quality.dq_identity_ambiguity(stg))["names_spanning_multiple_locations"] == 3
     assert one(quality.dq_target_coverage(stg)) == {
         "target_rows": 4, "distinct_months": 4, "distinct_categories": 3}
@@ -120,9 +120,9 @@ def test_exception_log(stg, rules):
     order = [r.severity for r in quality.exc_breakdown(log).collect()]
     assert order == ["ERROR", "WARN", "INFO", "INFO"]
     e1 = one(quality.exc_loss_exceeds_revenue(stg).filter(F.col("entity_key") == "B-1"))
-    assert e1["detail"] == "Tables: amount 100.00, profit -150.00"
+    assert e1["detail"] == "Desks: amount 100.00, profit -150.00"
     e4 = quality.exc_untrimmed(stg).collect()[0]
-    assert e4.detail == 'state stored as "Kerala " - trimmed on load'
+    assert e4.detail == 'state stored as "Alba " - trimmed on load'
 
 
 def test_cleaning_casts_and_parses(stg):
@@ -132,12 +132,12 @@ def test_cleaning_casts_and_parses(stg):
     assert lines.filter(F.col("category").isNotNull() if "category" in lines.columns
                         else F.lit(False)).count() == 0
     t = {r.category: r.target_month for r in cleaning.build_fact_target(stg).collect()}
-    assert t["Furniture"] == dt.date(2018, 4, 1)
+    assert t["Furnishings"] == dt.date(2018, 4, 1)
     assert t["Toys"] == dt.date(2019, 2, 1)
     months = [r.target_month for r in cleaning.build_fact_target(stg).collect()]
     assert dt.date(1975, 1, 1) in months                    # 70-99 -> 19xx
     dim = cleaning.build_dim_customer(stg)
-    assert dim.filter(F.col("state") == "Kerala").count() == 1
+    assert dim.filter(F.col("state") == "Alba").count() == 1
     orders = cleaning.build_fact_orders(stg)
     assert orders.filter(F.col("order_date").isNull()).count() == 1
 
@@ -178,5 +178,5 @@ def test_csv_reader_drops_blank_rows(spark, tmp_path):
     df = read_text_csv(spark, str(path), ORDERS_CSV_HEADER, RAW_ORDERS_COLUMNS)
     rows = df.collect()
     assert len(rows) == 3
-    assert rows[0].state == "Kerala "                         # padding preserved, raw stays raw
+    assert rows[0].state == "Alba "                         # padding preserved, raw stays raw
     assert all(isinstance(v, str) for v in rows[0])
