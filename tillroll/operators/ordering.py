@@ -58,7 +58,8 @@ def global_positions(df: DataFrame, order_by: Sequence, running: dict | None = N
     """Add _rn (1-based global position), _n (row count) and optional extras.
 
     ``running``    {output name: column name} -> running sum over the order
-                   (ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW).
+                   (ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), plus
+                   ``<output name>_total``, the sum over all rows.
     ``neighbours`` column names -> ``prev_<c>`` / ``next_<c>`` (LAG/LEAD by 1
                    in the global order; NULL at the ends).
     ``order_by`` must be a total order (end it with a unique key).
@@ -80,6 +81,7 @@ def global_positions(df: DataFrame, order_by: Sequence, running: dict | None = N
             F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"),
             F.sum("_cnt").over(everything).alias(N)]
     cols += [F.sum(f"_psum_{name}").over(before).alias(f"_poff_{name}") for name in running]
+    cols += [F.sum(f"_psum_{name}").over(everything).alias(f"{name}_total") for name in running]
     cols += [F.lag(f"_plast_{c}").over(by_pid).alias(f"_pprev_{c}") for c in neighbours]
     cols += [F.lead(f"_pfirst_{c}").over(by_pid).alias(f"_pnext_{c}") for c in neighbours]
     # P rows (one per non-empty partition of the sort): bounded, safe to broadcast.

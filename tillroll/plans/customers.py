@@ -60,8 +60,7 @@ def revenue_concentration(star: Star, thresholds=(50, 80)) -> DataFrame:
     cm = customer_metrics(star).select("total_revenue", *CUSTOMER_TIEBREAK)
     pos = global_positions(cm, [F.desc("total_revenue"), *CUSTOMER_TIEBREAK],
                            running={"running_revenue": "total_revenue"})
-    total = cm.agg(F.sum("total_revenue")).scalar()
-    pos = pos.withColumn("cumulative_pct", ratio_pct("running_revenue", total))
+    pos = pos.withColumn("cumulative_pct", ratio_pct("running_revenue", "running_revenue_total"))
     first, second = thresholds
     out = pos.agg(
         F.min(F.when(F.col("cumulative_pct") >= first, F.col(RN))).alias(f"customers_for_{first}pct_revenue"),
