@@ -12,8 +12,8 @@ way:
    many partitions.
 2. Tag each row with its partition id and its position inside the partition
    (``monotonically_increasing_id`` = partition << 33 | local index) and
-   materialise the result with a *reliable* checkpoint, so the range
-   boundaries are fixed once and survive executor loss.
+   write the result once to the shared checkpoint folder, so the range
+   boundaries are fixed once and the positions survive executor loss.
 3. Aggregate one summary row per partition (count, sums, first and last row
    values), take prefix sums over those P rows, and broadcast them back - P is
    bounded by the number of shuffle partitions, so the broadcast is bounded.
@@ -34,7 +34,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillroll.session import ensure_checkpoint_dir
+from tillroll.session import shared_path
 
 PID, MID, LOCAL, RN, N = "_pid", "_mid", "_local", "_rn", "_n"
 
@@ -44,12 +44,21 @@ def _as_col(c) -> Column:
 
 
 def sort_and_checkpoint(df: DataFrame, order_by: Sequence) -> DataFrame:
-    """Globally sort ``df`` and pin the result: adds _pid and 0-based _local."""
-    ensure_checkpoint_dir(df.sparkSession)
+    """Globally sort ``df`` and pin the result: adds _pid and 0-based _local.
+
+    The sorted rows, tagged with their partition id and position, are written
+    once as a Parquet table in the shared checkpoint folder and read back, so
+    the sampled range boundaries are fixed, the positions survive executor
+    loss, and the sort runs in a single job (an eager ``checkpoint()`` would
+    run the sorted stage twice: once to count, once to write).
+    """
+    spark = df.sparkSession
     tagged = df.orderBy(*[_as_col(c) for c in order_by]).select(
         "*", F.spark_partition_id().alias(PID),
         F.monotonically_increasing_id().alias(MID))
-    pinned = tagged.checkpoint(eager=True)
+    path = shared_path(spark, "sorted")
+    tagged.write.mode("overwrite").parquet(path)
+    pinned = spark.read.parquet(path)
     return pinned.withColumn(LOCAL, F.col(MID) - F.shiftleft(F.col(PID).cast("bigint"), 33)).drop(MID)
 
 

@@ -9,6 +9,7 @@ running in local mode with nothing configured.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -58,3 +59,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             "through reliable checkpoints and need a shared directory")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="tillroll-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/tillroll-out/{name}-{uuid.uuid4().hex[:12]}"

@@ -9,12 +9,10 @@ order month so later jobs prune by date.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.session import ensure_checkpoint_dir
+from tillroll.session import shared_path
 from tillroll.sources.tables import Star, star_from_facts
 
 MODEL_TABLES = ("dim_customer", "dim_sub_category", "fact_orders", "fact_order_lines",
@@ -23,8 +21,7 @@ MODEL_TABLES = ("dim_customer", "dim_sub_category", "fact_orders", "fact_order_l
 
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tillroll-out/{name}-{uuid.uuid4().hex[:12]}"
+    return shared_path(spark, name)
 
 
 def write_model(star: Star, path: str) -> None:
