@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.session import shared_path
-from tillroll.sources.tables import Star, star_from_facts
+from tillroll.sources.tables import Star, line_measures, star_from_facts
 
 MODEL_TABLES = ("dim_customer", "dim_sub_category", "fact_orders", "fact_order_lines",
                 "fact_sales_target")
@@ -88,9 +88,11 @@ def materialize_star(star: Star, path: str, buckets: int | None, tag: str) -> St
     if buckets is None:
         buckets = bucket_count(star.fact_order_lines)
 
-    def bucketed(df: DataFrame, name: str) -> DataFrame:
+    def bucketed(df: DataFrame, name: str, partitioned: bool = False) -> DataFrame:
         table = f"{tag}_{name}"
-        (df.repartition(buckets, "order_id").write.mode("overwrite")
+        if not partitioned:
+            df = df.repartition(buckets, "order_id")
+        (df.write.mode("overwrite")
          .bucketBy(buckets, "order_id").option("path", f"{path}/{name}")
          .format("parquet").saveAsTable(table))
         return spark.table(table)
@@ -101,7 +103,13 @@ def materialize_star(star: Star, path: str, buckets: int | None, tag: str) -> St
 
     wide = bucketed(star.orders_with_customer().select(
         "order_id", "customer_id", "order_date", "customer_name", "state", "city"), "fact_orders")
-    lines = bucketed(star.fact_order_lines, "fact_order_lines")
+    if star.line_inputs is not None:
+        # the measures are computed after the bucketing shuffle, spread over
+        # all buckets rather than over the scan splits of the source
+        lines = bucketed(line_measures(star.line_inputs.repartition(buckets, "order_id")),
+                         "fact_order_lines", partitioned=True)
+    else:
+        lines = bucketed(star.fact_order_lines, "fact_order_lines")
     derived = star_from_facts(wide, lines)
     return Star(plain(derived.dim_customer, "dim_customer"),
                 plain(derived.dim_sub_category, "dim_sub_category"),

@@ -25,7 +25,7 @@ measured size is under ``spark.sql.autoBroadcastJoinThreshold``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +74,7 @@ class Star:
     fact_order_lines: DataFrame    # order_id, sub_category, amount, profit, quantity
     fact_sales_target: DataFrame   # target_month, category, target_amount
     orders_wide: DataFrame | None = None  # fact_orders + customer attributes
+    line_inputs: DataFrame | None = None  # raw inputs of fact_order_lines (line_measures)
 
     def orders_with_customer(self) -> DataFrame:
         """fact_orders joined to dim_customer (order grain, no fan-out)."""
@@ -85,14 +86,21 @@ class Star:
         return self.fact_order_lines.join(self.dim_sub_category, "sub_category")
 
 
-def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def source_line_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines joined to their part, with the raw inputs of the line measures."""
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     joined = skew_split_join(li, part, ["l_partkey"], ["p_partkey"])
-    return joined.select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("p_name").alias("sub_category"),
+    return joined.select(F.col("l_orderkey").alias("order_id"),
+                         F.col("p_name").alias("sub_category"),
+                         "l_extendedprice", "l_discount", "l_quantity", "p_retailprice")
+
+
+def line_measures(inputs: DataFrame) -> DataFrame:
+    """The line fact: exact amount, profit and quantity from the raw inputs."""
+    return inputs.select(
+        "order_id", "sub_category",
         line_amount(F.col("l_extendedprice"), F.col("l_discount")).alias("amount"),
         line_profit(F.col("l_extendedprice"), F.col("l_discount"), F.col("l_quantity"),
                     F.col("p_retailprice")).alias("profit"),
@@ -100,6 +108,10 @@ def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_measures(source_line_inputs(spark, sf_dir))
+
+
 def source_orders_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order grain with the customer's composite identity attached."""
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -155,7 +167,9 @@ def star_from_facts(orders_wide: DataFrame, lines: DataFrame) -> Star:
 
 
 def build_star(spark: SparkSession, sf_dir: str) -> Star:
-    return star_from_facts(source_orders_wide(spark, sf_dir), source_lines(spark, sf_dir))
+    inputs = source_line_inputs(spark, sf_dir)
+    star = star_from_facts(source_orders_wide(spark, sf_dir), line_measures(inputs))
+    return replace(star, line_inputs=inputs)
 
 
 def geography_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
