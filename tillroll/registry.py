@@ -19,7 +19,7 @@ from tillroll.plans import (cleaning, customers, geo_time, products_targets, qua
                             validation, views)
 from tillroll.sources import sinks
 from tillroll.sources.staging import (ORDERS_CSV_HEADER, RAW_ORDERS_COLUMNS, RAW_TARGET_COLUMNS,
-                                      TARGET_CSV_HEADER, Staging, build_staging, read_text_csv,
+                                      TARGET_CSV_HEADER, Staging, read_text_csv, staging_from_star,
                                       write_text_csv)
 from tillroll.sources.tables import build_star, geography_reference
 
@@ -64,12 +64,13 @@ def model(spark: SparkSession, sf_dir: str):
 
 def staging(spark: SparkSession, sf_dir: str) -> Staging:
     """The text staging tables for ``sf_dir``, rendered once per application
-    and stored (as text columns) in the shared checkpoint folder, as the
+    (from the stored model, so the large driver tables are not joined a second
+    time) and stored as text columns in the shared checkpoint folder, as the
     original load stores its raw files before profiling them."""
     key = (spark.sparkContext.applicationId, "staging:" + sf_dir)
     if key not in _MODELS:
         path = sinks.shared_dir(spark, "staging")
-        raw = build_staging(spark, sf_dir)
+        raw = staging_from_star(model(spark, sf_dir))
 
         def keep(df: DataFrame, name: str) -> DataFrame:
             df.write.mode("overwrite").parquet(f"{path}/{name}")

@@ -74,6 +74,28 @@ def stage_raw_sales_target(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "category", F.col("target_amount").cast("string").alias("target"))
 
 
+def staging_from_star(star) -> Staging:
+    """The same text staging tables rendered from an (already built) star:
+    no second join of the large driver tables."""
+    o = star.orders_with_customer()
+    raw_orders = o.select(
+        F.col("order_id").cast("string").alias("order_id"),
+        F.date_format("order_date", "dd-MM-yyyy").alias("order_date"),
+        "customer_name", "state", "city")
+    ln = star.fact_order_lines
+    raw_details = ln.select(
+        F.col("order_id").cast("string").alias("order_id"),
+        F.col("amount").cast("string").alias("amount"),
+        F.col("profit").cast("string").alias("profit"),
+        F.col("quantity").cast("string").alias("quantity"),
+        category_of(F.col("sub_category")).alias("category"),
+        F.col("sub_category").alias("sub_category"))
+    t = star.fact_sales_target
+    raw_target = t.select(F.date_format("target_month", "MMM-yy").alias("month_of_order_date"),
+                          "category", F.col("target_amount").cast("string").alias("target"))
+    return Staging(raw_orders, raw_details, raw_target)
+
+
 def build_staging(spark: SparkSession, sf_dir: str) -> Staging:
     return Staging(stage_raw_orders(spark, sf_dir), stage_raw_order_details(spark, sf_dir),
                    stage_raw_sales_target(spark, sf_dir))
