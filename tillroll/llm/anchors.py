@@ -58,7 +58,7 @@ class Windows:
     #: stretches that a task gathers before it settles equal ones and sends the rest
     flush: int = 300_000
     #: different stretches of one key beyond which the key is split by context
-    hot: int = 2_000
+    hot: int = 200
 
 
 def byte_symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from tillroll.llm import rlz, suffix
+from tillroll.llm import decontam, jaccard, mix, rlz, suffix
 
 QUERIES = {
     "op4_rlz_substring_dedup": rlz.op4_rlz_substring_dedup,
+    "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
+    "op7_benchmark_decontamination": decontam.op7_benchmark_decontamination,
+    "op9_mix_sources": mix.op9_mix_sources,
     "op10_suffix_dedup": suffix.op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_ngram_jaccard_join": jaccard.ORACLE_SQL,
+    "op7_benchmark_decontamination": decontam.ORACLE_SQL,
+}
