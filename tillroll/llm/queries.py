@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tillroll.llm import decontam, jaccard, mix, rlz, suffix
+from tillroll.llm import decontam, jaccard, lengths, mix, rlz, rules, suffix
 
 QUERIES = {
     "op4_rlz_substring_dedup": rlz.op4_rlz_substring_dedup,
+    "op5_token_length_histogram": lengths.op5_token_length_histogram,
     "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
     "op7_benchmark_decontamination": decontam.op7_benchmark_decontamination,
+    "op8_quality_classifier": rules.op8_quality_classifier,
     "op9_mix_sources": mix.op9_mix_sources,
     "op10_suffix_dedup": suffix.op10_suffix_dedup,
 }
