@@ -22,8 +22,9 @@ import tillroll
 from tillroll.session import shared_path
 
 NULL_ID = -(1 << 63)
-#: Bytes of text that one step of an array kernel handles (a longer document is one step).
-STEP_BYTES = 1 << 20
+#: Bytes of text that one step of an array kernel handles (a longer document is one step);
+#: the kernels need about 150 bytes of work space for each.
+STEP_BYTES = 1 << 18
 #: Input bytes for each bucket of a hash exchange.
 BUCKET_BYTES = 4 << 20
 #: Word separators of the contracts: space and \x09-\x0D.
@@ -133,11 +134,11 @@ def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs.astype(np.int64)
 
 
-def steps(offs: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Row ranges of about STEP_BYTES of text each."""
+def steps(offs: np.ndarray, size: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes of text each."""
     i, n = 0, len(offs) - 1
     while i < n:
-        j = int(np.searchsorted(offs, offs[i] + STEP_BYTES, "right")) - 1
+        j = int(np.searchsorted(offs, offs[i] + size, "right")) - 1
         j = min(max(j, i + 1), n)
         yield i, j
         i = j

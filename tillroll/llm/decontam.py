@@ -32,6 +32,8 @@ WIDTH = 13
 HIT_SHARE = 20
 #: Bytes of test item text that one search holds; a larger benchmark is searched in several.
 QUERY_BYTES = 4 << 20
+#: Bytes of text in a block of the index.
+BLOCK_BYTES = 1 << 20
 #: Separators of the contract after lower-casing: all ASCII but digits and letters.
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
@@ -49,7 +51,7 @@ def _index(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         d, t = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         buf, offs = C.text_buffer(batch.column(2))
-        for i, j in C.steps(offs):
+        for i, j in C.steps(offs, BLOCK_BYTES):
             codes, first = _terms(buf[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
             order = np.argsort(codes, kind="stable")
             head = C.run_starts(codes[order])
