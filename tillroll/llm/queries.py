@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tillroll.llm import brown, decontam, jaccard, lengths, lines, mix, rlz, rules, suffix
+from tillroll.llm import brown, decontam, iblt, jaccard, lengths, lines, mix, rlz, rules, suffix
 
 QUERIES = {
     "op1_fuzzy_line_dedup": lines.op1_fuzzy_line_dedup,
     "op2_brown_lm_scoring": brown.op2_brown_lm_scoring,
+    "op3_iblt_fingerprints": iblt.op3_iblt_fingerprints,
     "op4_rlz_substring_dedup": rlz.op4_rlz_substring_dedup,
     "op5_token_length_histogram": lengths.op5_token_length_histogram,
     "op6_ngram_jaccard_join": jaccard.op6_ngram_jaccard_join,
