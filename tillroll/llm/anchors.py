@@ -56,7 +56,7 @@ class Windows:
     #: a window repeats if it starts anywhere else (True), or in a document with a smaller id (False)
     anywhere: bool
     #: stretches that a task gathers before it settles equal ones and sends the rest
-    flush: int = 300_000
+    flush: int = 200_000
     #: different stretches of one key beyond which the key is split by context
     hot: int = 200
 

@@ -37,9 +37,15 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _SHIPPED: set[str] = set()
 
 
+#: Texts are large rows: batches for Python of a few MB instead of the default 64, unless the session sets another size.
+BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "4194304b")
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once per application, as a zip in the shared folder."""
+    """Give the executors this package, once per application, as a zip in the shared folder; bound the batches."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH[0], BATCH[1]) == BATCH[1]:
+        spark.conf.set(BATCH[0], BATCH[2])
     if sc.applicationId in _SHIPPED:
         return
     top = pathlib.Path(tillroll.__file__).parent
@@ -72,9 +78,10 @@ def doc_id_of(col: str = "_d"):
     return F.when(F.col(col) != NULL_ID, F.col(col)).alias("doc_id")
 
 
-def scan_bytes(df: DataFrame) -> int:
-    """Optimizer's size of a scan (with its filters and projections)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def scan_bytes(df: DataFrame) -> int | None:
+    """Optimizer's size of a scan (with its filters and projections); None where the source has no size."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return None if size >= 1 << 58 else size  # Spark's default for an unknown size is 2^63 - 1 bytes
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -82,8 +89,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def bucket_count(df: DataFrame, bytes_each: int = BUCKET_BYTES) -> int:
-    """Buckets of a hash exchange: they follow the size of the scan."""
-    return max(shuffle_partitions(df.sparkSession), -(-scan_bytes(df) // bytes_each))
+    """Buckets of a hash exchange: they follow the size of the scan (of unknown size: the shuffle partitions)."""
+    return max(shuffle_partitions(df.sparkSession), -(-(scan_bytes(df) or 0) // bytes_each))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -94,6 +101,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, most: int = 16 << 20) -> DataFrame:
+    """``df`` (a stored table) marked for broadcast if its files are small; else a shuffle join takes it."""
+    size = scan_bytes(df)
+    return F.broadcast(df) if size is not None and size <= most else df
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): smallest node reachable over ``edges(u, v)``; only nodes with an edge.
 

@@ -160,7 +160,7 @@ def with_successor(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("_d"), text.alias("text"))
-    rows = rows.withColumn("_range", _ranges(rows, -(-C.scan_bytes(docs) // RANGE_BYTES)))
+    rows = rows.withColumn("_range", _ranges(rows, -(-(C.scan_bytes(docs) or 0) // RANGE_BYTES)))
     first = rows.groupBy("_range").agg(F.min(F.struct("_d", "text")).alias("f"))
     line = Window.orderBy("_range")  # one row for each range
     before = F.coalesce(F.lag("_range").over(line), F.max("_range").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
