@@ -16,35 +16,47 @@ does not rely on it:
 
 The sample only decides which path a row takes; every row is joined exactly
 once on either path, so the result is whole and exact whatever the sample
-says.  The other side must have at most one row per key (a dimension) for
-the broadcast part to stay bounded.
+says.  The other side should have at most one row per key (a dimension); that
+bounds the broadcast part and is checked.  If it does not hold, all rows take
+the shuffle join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.session import ensure_checkpoint_dir
+from tillroll.session import ensure_checkpoint_dir, shared_path
 
-HEAVY_FRACTION = 0.01
 SAMPLE_FRACTION = 0.001
 SAMPLE_SEED = 17
 
 
-def heavy_keys(big: DataFrame, keys: Sequence[str], fraction: float = HEAVY_FRACTION,
+def heavy_fraction(spark: SparkSession) -> float:
+    """A key is heavy from half a shuffle partition's share of the rows on."""
+    return 0.5 / int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def heavy_keys(big: DataFrame, keys: Sequence[str], fraction: float,
                sample: float = SAMPLE_FRACTION) -> DataFrame:
-    """Keys holding (about) ``fraction`` of the rows or more; at most 2 / fraction rows."""
-    s = big.select(*keys).sample(withReplacement=False, fraction=sample, seed=SAMPLE_SEED)
-    total = s.agg(F.count(F.lit(1))).scalar()
+    """Keys holding (about) ``fraction`` of the rows or more; at most 2 / fraction rows.
+
+    The sample is written once: one pass over the key columns of ``big``.
+    """
+    spark = big.sparkSession
+    path = shared_path(spark, "sample")
+    big.select(*keys).sample(withReplacement=False, fraction=sample, seed=SAMPLE_SEED) \
+       .write.mode("overwrite").parquet(path)
+    s = spark.read.parquet(path)
+    total = s.count()
     counts = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return counts.filter(F.col("_n") * 2 >= total * fraction).select(*keys)
 
 
 def skew_split_join(big: DataFrame, dim: DataFrame, big_keys: Sequence[str],
-                    dim_keys: Sequence[str], fraction: float = HEAVY_FRACTION,
+                    dim_keys: Sequence[str], fraction: float | None = None,
                     sample: float = SAMPLE_FRACTION) -> DataFrame:
     """Inner join ``big`` to ``dim`` (unique on ``dim_keys``), heavy keys broadcast.
 
@@ -55,8 +67,12 @@ def skew_split_join(big: DataFrame, dim: DataFrame, big_keys: Sequence[str],
     # Pinned with a reliable checkpoint: the semi and anti joins below must see
     # the very same key list, even if the sample were recomputed differently.
     ensure_checkpoint_dir(big.sparkSession)
+    fraction = heavy_fraction(big.sparkSession) if fraction is None else fraction
     hot = heavy_keys(big, big_keys, fraction, sample).checkpoint(eager=True)  # <= 2/fraction rows
     hot_for_dim = hot.toDF(*dim_keys)
+    # The broadcast below is bounded only if the dimension is unique on its key.
+    if dim.join(F.broadcast(hot_for_dim), dim_keys, "left_semi").count() > hot.count():
+        return big.join(dim, [big[a] == dim[b] for a, b in zip(big_keys, dim_keys)])
     big_hot = big.join(F.broadcast(hot), big_keys, "left_semi")
     big_cold = big.join(F.broadcast(hot), big_keys, "left_anti")
     dim_hot = dim.join(F.broadcast(hot_for_dim), dim_keys, "left_semi")  # <= 2 / fraction rows

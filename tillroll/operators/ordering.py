@@ -29,9 +29,10 @@ alone, no sort at all.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.session import shared_path
@@ -39,6 +40,19 @@ from tillroll.session import shared_path
 PID, MID, LOCAL, RN, N = "_pid", "_mid", "_local", "_rn", "_n"
 
 
+_PINNED: list[str] = []
+
+
+@contextmanager
+def pinned_until_written(spark: SparkSession) -> Iterator[None]:
+    """Remove the orderings that are pinned inside the block when it ends."""
+    before = len(_PINNED)
+    yield
+    while len(_PINNED) > before:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PINNED.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _as_col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -58,6 +72,7 @@ def sort_and_checkpoint(df: DataFrame, order_by: Sequence) -> DataFrame:
         F.monotonically_increasing_id().alias(MID))
     path = shared_path(spark, "sorted")
     tagged.write.mode("overwrite").parquet(path)
+    _PINNED.append(path)
     pinned = spark.read.parquet(path)
     return pinned.withColumn(LOCAL, F.col(MID) - F.shiftleft(F.col(PID).cast("bigint"), 33)).drop(MID)
 

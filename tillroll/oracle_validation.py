@@ -38,7 +38,7 @@ def check_bodies() -> dict[str, str]:
     orders, people = "(SELECT COUNT(*) FROM fo)", "(SELECT COUNT(*) FROM dcu)"
     correct = f"(SELECT {pct('SUM(profit)', 'SUM(amount)')} FROM fol)"
     at_order = f"(SELECT {pct('SUM(order_profit)', 'SUM(order_revenue)')} FROM os)"
-    naive = "(SELECT ROUND(AVG(100e0 * CAST(profit AS DOUBLE) / CAST(amount AS DOUBLE)), 2) FROM fol)"
+    naive = "(SELECT ROUND(AVG(100e0 * CAST(profit AS DOUBLE) / NULLIF(CAST(amount AS DOUBLE), 0)), 2) FROM fol)"
     cur = f"(SELECT revenue FROM {MONTHS} m WHERE rn = 8)"
     prev = f"(SELECT revenue FROM {MONTHS} m WHERE rn = 7)"
     hand = f"({pct(f'{cur} - {prev}', prev)})"

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.measures import avg2, margin_pct, ratio_pct
-from tillroll.operators.ordering import (N, RN, global_positions, group_extent, ntile, rank_by,
+from tillroll.operators.ordering import (N, RN, global_positions, group_extent, ntile,
                                         value_histogram_positions)
 from tillroll.plans.views import (CUSTOMER_TIEBREAK, customer_metrics, customer_rfm,
                                   order_summary)
@@ -57,6 +57,10 @@ def frequency_distribution(star: Star) -> DataFrame:
 def revenue_concentration(star: Star, thresholds=(50, 80)) -> DataFrame:
     """Q19 - fewest customers whose cumulative share (rounded to 2 dp first)
     reaches each threshold."""
+    return star.once(f"concentration_{'_'.join(map(str, thresholds))}", lambda: _concentration(star, thresholds))
+
+
+def _concentration(star: Star, thresholds) -> DataFrame:
     cm = customer_metrics(star).select("total_revenue", *CUSTOMER_TIEBREAK)
     pos = global_positions(cm, [F.desc("total_revenue"), *CUSTOMER_TIEBREAK],
                            running={"running_revenue": "total_revenue"})
@@ -78,10 +82,14 @@ def top_customers(star: Star, k: int = 15) -> DataFrame:
     """Q20 - top ``k`` by revenue with revenue rank and (global) profit rank."""
     cm = customer_metrics(star).select("customer_name", "city", "state", "order_count",
                                        "total_revenue", "total_profit")
-    by_profit = global_positions(cm, [F.desc("total_profit"), *CUSTOMER_TIEBREAK])
-    ranked = rank_by(by_profit, ["total_profit"], "profit_rank").drop(RN, N)
-    order = [F.desc("total_revenue"), *CUSTOMER_TIEBREAK]
-    top = ranked.orderBy(*order).limit(k)
+    top = cm.orderBy(F.desc("total_revenue"), *CUSTOMER_TIEBREAK).limit(k)
+    # profit rank = 1 + customers with more profit: k counts in one pass, no sort of all customers
+    profits = top.agg(F.array_sort(F.collect_set("total_profit"))).scalar()
+    above = cm.agg(F.map_from_entries(F.array(*[F.struct(
+        F.lit(i).alias("i"), F.count_if(F.col("total_profit") > F.get(profits, F.lit(i))).alias("n"))
+        for i in range(k)]))).scalar()
+    top = top.withColumn("profit_rank", 1 + F.element_at(
+        above, (F.array_position(profits, F.col("total_profit")) - 1).cast("int")))
     return _with_customer_margin(top).select(
         F.rank().over(Window.orderBy(F.desc("total_revenue"))).alias("revenue_rank"),
         "customer_name", "city", "state", "order_count", "total_revenue", "total_profit",
@@ -166,14 +174,22 @@ def order_sequence(star: Star) -> DataFrame:
     customer; each customer's first position and order count are joined back
     block-wise (``group_extent``), so the hot customer stays spread out.
     """
-    os = order_summary(star).select("customer_id", "order_id", "order_date", "order_revenue")
-    pos = global_positions(os, ["customer_id", "order_date", "order_id"],
-                           neighbours=["customer_id", "order_revenue", "order_date"])
-    seq = (group_extent(pos, ["customer_id"], prefix="_c")
+    return star.once("order_sequence", lambda: _order_sequence(star)).orderBy("order_sequence")
+
+
+def _order_sequence(star: Star) -> DataFrame:
+    who = F.struct(*CUSTOMER_TIEBREAK)  # the identity itself: no hash, nulls are values
+    os = order_summary(star, with_customer=True).select(
+        who.alias("who"), "order_id", "order_date", "order_revenue")
+    repeat = os.groupBy("who").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("who")
+    os = os.join(repeat, "who", "left_semi")  # one-time customers have no sequence: not sorted
+    pos = global_positions(os, ["who", "order_date", "order_id"],
+                           neighbours=["who", "order_revenue", "order_date"])
+    seq = (group_extent(pos, ["who"], prefix="_c")
            .withColumnRenamed("_c_rows", "lifetime_orders")
            .withColumn("seq", F.col(RN) - F.col("_c_first") + 1))
-    same_prev = F.col("prev_customer_id") == F.col("customer_id")
-    same_next = F.col("next_customer_id") == F.col("customer_id")
+    same_prev = F.col("prev_who") == F.col("who")
+    same_next = F.col("next_who") == F.col("who")
     seq = seq.select(
         "seq", "lifetime_orders", "order_revenue",
         (F.col("order_revenue") - F.when(same_prev, F.col("prev_order_revenue"))).alias("chg"),
@@ -193,8 +209,8 @@ def first_vs_latest(star: Star, band: float = 0.20) -> DataFrame:
     (date, -revenue) gives the first date and the largest order on it, the
     maximum of (date, revenue) the last date and the largest order on it.
     """
-    os = order_summary(star)
-    b = os.groupBy("customer_id").agg(
+    os = order_summary(star, with_customer=True)
+    b = os.groupBy(*CUSTOMER_TIEBREAK).agg(
         F.count(F.lit(1)).alias("orders"),
         F.min(F.struct(F.col("order_date").alias("d"), (-F.col("order_revenue")).alias("v"))).alias("f"),
         F.max(F.struct(F.col("order_date").alias("d"), F.col("order_revenue").alias("v"))).alias("l"),

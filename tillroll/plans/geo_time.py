@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from tillroll.functions.dates import (day_name, fiscal_quarter_label, month_label,
                                       month_start)
 from tillroll.functions.measures import margin_pct, per, ratio_pct
-from tillroll.sources.tables import Star
+from tillroll.plans.views import order_values
+from tillroll.sources.tables import IDENTITY, Star
 
 def _whole():
     """The whole (already aggregated, dimension-bounded) result as one window."""
@@ -24,9 +25,9 @@ def _whole():
 
 def _order_values(star: Star) -> DataFrame:
     """Per order with lines: revenue, profit, units (line grain -> order grain)."""
-    return star.fact_order_lines.groupBy("order_id").agg(
-        F.sum("amount").alias("revenue"), F.sum("profit").alias("profit"),
-        F.sum("quantity").alias("units"))
+    return order_values(star).select("order_id", F.col("order_revenue").alias("revenue"),
+                                     F.col("order_profit").alias("profit"),
+                                     F.col("order_quantity").alias("units"))
 
 
 def _line_side(star: Star, keys) -> DataFrame:
@@ -40,7 +41,7 @@ def _line_side(star: Star, keys) -> DataFrame:
 def state_scorecard(star: Star) -> DataFrame:
     """Q9 - full state scorecard; orders/customers counted at order grain."""
     lines = _line_side(star, ["state"])
-    per_cust = star.orders_with_customer().groupBy("state", "customer_id").agg(
+    per_cust = star.orders_with_customer().groupBy(*IDENTITY).agg(
         F.count(F.lit(1)).alias("o"))
     orders = per_cust.groupBy("state").agg(F.sum("o").alias("orders"),
                                            F.count(F.lit(1)).alias("customers"))
@@ -59,13 +60,14 @@ def state_scorecard(star: Star) -> DataFrame:
 def state_market_class(star: Star) -> DataFrame:
     """Q10 - median state revenue and business margin split states in four."""
     sp = _line_side(star, ["state"]).withColumn(
-        "m", F.lit(100.0) * F.col("profit").cast("double") / F.col("revenue").cast("double"))
+        "m", F.try_divide(F.lit(100.0) * F.col("profit").cast("double"), F.col("revenue").cast("double")))
     bench = star.fact_order_lines.agg(
-        F.lit(100.0) * F.sum("profit").cast("double") / F.sum("amount").cast("double")).scalar()
+        F.try_divide(F.lit(100.0) * F.sum("profit").cast("double"), F.sum("amount").cast("double"))).scalar()
     sp = sp.withColumn("med", F.median(F.col("revenue").cast("double")).over(_whole())) \
            .withColumn("bench", bench)
     high = F.col("revenue").cast("double") >= F.col("med")
     strong = F.col("m") >= F.col("bench")
+    # fixed values: the market labels
     seg = (F.when(high & strong, "Strong market")
            .when(high & ~strong, "High revenue, weak profit")
            .when(~high & strong, "Growth opportunity")

@@ -30,6 +30,7 @@ def top3_subcat_ranks(star: Star, k: int = 3) -> DataFrame:
         .orderBy("category", "dense_pos", "row_num"))
 
 
+# The quartile labels.
 QUARTILE_LABELS = {1: "Q1 - most profitable", 2: "Q2", 3: "Q3"}
 QUARTILE_LAST = "Q4 - least profitable"
 
@@ -95,7 +96,7 @@ def target_half_trend(star: Star, fiscal_start_month: int = 4) -> DataFrame:
         fiscal_year("target_month", fiscal_start_month).alias("fiscal_year"),
         fiscal_half("target_month", fiscal_start_month).alias("half"),
     ).agg(F.sum("target_amount").alias("target"), F.sum("actual_revenue").alias("actual"))
-    pct = F.lit(100.0) * F.col("actual").cast("double") / F.col("target").cast("double")
+    pct = F.try_divide(F.lit(100.0) * F.col("actual").cast("double"), F.col("target").cast("double"))
     h1 = F.max(F.when(F.col("half") == 1, pct))
     h2 = F.max(F.when(F.col("half") == 2, pct))
     g = halves.groupBy("category", "fiscal_year").agg(h1.alias("h1"), h2.alias("h2"))

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.measures import (avg2, margin_pct, per, per_double, ratio_pct,
                                          sum_margin_pct)
-from tillroll.plans.views import order_summary
-from tillroll.sources.tables import Star
+from tillroll.plans.views import order_summary, order_values
+from tillroll.sources.tables import IDENTITY, Star
 
 def _whole():
     """The whole (already aggregated, dimension-bounded) result as one window."""
@@ -23,9 +23,9 @@ def _whole():
 
 
 def _order_totals(star: Star) -> DataFrame:
-    per_order = star.fact_order_lines.groupBy("order_id").agg(
-        F.sum("amount").alias("order_amount"), F.sum("quantity").alias("order_quantity"))
-    return star.fact_orders.join(per_order, "order_id")
+    per_order = order_values(star).select(
+        "order_id", F.col("order_revenue").alias("order_amount"), "order_quantity")
+    return star.orders_with_customer().join(per_order, "order_id")
 
 
 def kpi_summary(star: Star) -> DataFrame:
@@ -38,7 +38,7 @@ def kpi_summary(star: Star) -> DataFrame:
     orders = ot.agg(F.struct(F.count(F.lit(1)).alias("n"),
                              avg2("order_amount").alias("aov"),
                              avg2("order_quantity").alias("aoq"))).scalar()
-    total_customers = ot.select("customer_id").distinct().agg(F.count(F.lit(1))).scalar()
+    total_customers = ot.select(*IDENTITY).distinct().agg(F.count(F.lit(1))).scalar()
     places = star.dim_customer.agg(F.struct(F.count_distinct("state").alias("s"),
                                             F.count_distinct("city").alias("c"))).scalar()
     products = star.dim_sub_category.agg(F.struct(F.count_distinct("category").alias("c"),
@@ -80,11 +80,18 @@ def reconcile_grains(star: Star) -> DataFrame:
 
 def _per_sub_category(star: Star) -> DataFrame:
     """Line measures per sub-category, then the (small) dimension join."""
-    per_sub = star.fact_order_lines.groupBy("sub_category").agg(
+    # one row per quantity first: amounts of one quantity add up exactly before they
+    # are divided by it, whatever the order of the lines
+    priced = F.when(F.col("quantity") != 0, F.col("amount"))
+    per_quantity = star.fact_order_lines.groupBy("sub_category", "quantity").agg(
         F.sum("amount").alias("revenue"), F.sum("profit").alias("profit"),
         F.sum("quantity").alias("units"), F.count(F.lit(1)).alias("line_count"),
         F.count_if(F.col("profit") < 0).alias("loss_making_lines"),
-        F.sum(F.col("amount").cast("double") / F.col("quantity")).alias("unit_price_sum"))
+        F.sum(priced).alias("priced"), F.count(priced).alias("unit_prices"))
+    per_sub = per_quantity.groupBy("sub_category").agg(
+        *[F.sum(c).alias(c) for c in ("revenue", "profit", "units", "line_count",
+                                      "loss_making_lines", "unit_prices")],
+        F.sum(F.try_divide(F.col("priced").cast("double"), F.col("quantity"))).alias("unit_price_sum"))
     return per_sub.join(star.dim_sub_category, "sub_category")
 
 
@@ -115,13 +122,14 @@ def subcat_quadrant(star: Star) -> DataFrame:
     """Q5 - revenue against the mean sub-category revenue, margin against the
     business margin (both unrounded when compared)."""
     s = _per_sub_category(star).withColumn(
-        "m", F.lit(100.0) * F.col("profit").cast("double") / F.col("revenue").cast("double"))
+        "m", F.try_divide(F.lit(100.0) * F.col("profit").cast("double"), F.col("revenue").cast("double")))
     overall = star.fact_order_lines.agg(
-        F.lit(100.0) * F.sum("profit").cast("double") / F.sum("amount").cast("double")).scalar()
+        F.try_divide(F.lit(100.0) * F.sum("profit").cast("double"), F.sum("amount").cast("double"))).scalar()
     avg_rev = F.sum("revenue").over(_whole()).cast("double") / F.count(F.lit(1)).over(_whole())
     s = s.withColumn("avg_rev", avg_rev).withColumn("overall", overall)
     high = F.col("revenue").cast("double") >= F.col("avg_rev")
     strong = F.col("m") >= F.col("overall")
+    # fixed values: the quadrant labels
     quadrant = (F.when(high & strong, "Core strength")
                 .when(high & ~strong, "Volume trap - fix margin")
                 .when(~high & strong, "Scale candidate")
@@ -165,7 +173,7 @@ def subcat_line_value(star: Star) -> DataFrame:
         "sub_category", "category", "line_count",
         per("revenue", "line_count").alias("avg_line_value"),
         per("units", "line_count").alias("avg_units_per_line"),
-        per_double("unit_price_sum", "line_count").alias("avg_unit_price"),
+        per_double("unit_price_sum", "unit_prices").alias("avg_unit_price"),
         margin_pct().alias("margin_pct"),
     ).orderBy(F.desc("avg_line_value"), "sub_category")
 

@@ -104,8 +104,8 @@ def val_margin_ratio(star: Star, expected: float | None = None) -> DataFrame:
         target = os.agg(ratio_pct(F.sum("order_profit"), F.sum("order_revenue"))).scalar()
     else:
         target = F.lit(expected)
-    naive = lines.agg(F.round(F.avg(F.lit(100.0) * F.col("profit").cast("double")
-                                    / F.col("amount").cast("double")), 2)).scalar()
+    naive = lines.agg(F.round(F.avg(F.try_divide(F.lit(100.0) * F.col("profit").cast("double"),
+                                                 F.col("amount").cast("double"))), 2)).scalar()
     return _row(star, "V5", "Margin uses ratio of totals, not mean of ratios", correct == target,
                 F.concat(F.lit("correct = "), _dec2(correct), F.lit("%, naive row-average = "),
                          _dec2(naive), F.lit("%")))
@@ -199,7 +199,7 @@ def val_shares_sum(star: Star) -> DataFrame:
     """V14 - sub-category revenue shares add up to 100 %."""
     scp = sub_category_performance(star)
     total = _s(star.fact_order_lines, "amount").cast("double")
-    shares = scp.agg(F.round(F.sum(F.lit(100.0) * F.col("revenue").cast("double") / total), 2)).scalar()
+    shares = scp.agg(F.round(F.sum(F.try_divide(F.lit(100.0) * F.col("revenue").cast("double"), total)), 2)).scalar()
     return _row(star, "V14", "Revenue shares sum to 100%", shares == 100.0,
                 F.concat(_txt(_n(scp)), F.lit(" sub-categories")))
 

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from tillroll.functions.dates import month_label, month_start
 from tillroll.functions.measures import avg2, margin_pct, per, ratio_pct
 from tillroll.operators.ordering import N, RN, global_positions, ntile
-from tillroll.sources.tables import Star
+from tillroll.sources.tables import IDENTITY, Star, per_order_values
 
-CUSTOMER_TIEBREAK = ("customer_name", "state", "city")
+CUSTOMER_TIEBREAK = IDENTITY
 
 
 def snapshot_date(star: Star, snapshot: str | None = None) -> Column:
@@ -29,14 +29,9 @@ def snapshot_date(star: Star, snapshot: str | None = None) -> Column:
     return star.fact_orders.agg(F.max("order_date")).scalar()
 
 
-def _order_values(star: Star) -> DataFrame:
-    """Line measures per order (bucketed on order id in the stored model: no shuffle)."""
-    return star.fact_order_lines.groupBy("order_id").agg(
-        F.count(F.lit(1)).alias("line_count"),
-        F.sum("amount").alias("order_revenue"),
-        F.sum("profit").alias("order_profit"),
-        F.sum("quantity").alias("order_quantity"),
-    )
+def order_values(star: Star) -> DataFrame:
+    """Line measures per order; a stored model has them as a table (bucketed like the orders)."""
+    return per_order_values(star.fact_order_lines) if star.order_values is None else star.order_values
 
 
 def order_summary(star: Star, with_customer: bool = False) -> DataFrame:
@@ -47,7 +42,7 @@ def order_summary(star: Star, with_customer: bool = False) -> DataFrame:
     """
     orders = star.orders_with_customer() if with_customer else star.fact_orders
     extra = ["customer_name", "state", "city"] if with_customer else []
-    return orders.join(_order_values(star), "order_id").select(
+    return orders.join(order_values(star), "order_id").select(
         "order_id", "customer_id", *extra, "order_date",
         month_start("order_date").alias("month_start"),
         "line_count", "order_revenue", "order_profit", "order_quantity",
@@ -59,8 +54,14 @@ def customer_metrics(star: Star, snapshot: str | None = None) -> DataFrame:
 
     The customer's attributes ride along from the wide order table, so the
     per-customer aggregate needs no join back to the dimension (they are
-    functionally dependent on the customer key).
+    functionally dependent on the customer key).  A stored model keeps the result.
     """
+    if snapshot is None:
+        return star.once("customer_metrics", lambda: _customer_metrics(star, None))
+    return _customer_metrics(star, snapshot)
+
+
+def _customer_metrics(star: Star, snapshot: str | None) -> DataFrame:
     snap = snapshot_date(star, snapshot)
     per_customer = order_summary(star, with_customer=True).groupBy(
         "customer_id", "customer_name", "state", "city").agg(
@@ -117,7 +118,7 @@ def state_performance(star: Star) -> DataFrame:
     """W5 - one row per state, from W1 (line-less orders excluded)."""
     # the (wide) order table already carries the customer's state
     orders = order_summary(star, with_customer=True)
-    per_customer = orders.groupBy("state", "customer_id").agg(
+    per_customer = orders.groupBy(*IDENTITY).agg(
         F.count(F.lit(1)).alias("o"), F.sum("order_revenue").alias("r"),
         F.sum("order_profit").alias("p"), F.sum("order_quantity").alias("u"))
     per_state = per_customer.groupBy("state").agg(
@@ -158,8 +159,14 @@ def customer_rfm(star: Star, snapshot: str | None = None, buckets: int = 5) -> D
     r = buckets+1 - NTILE over days since last order (ascending),
     m = NTILE over total revenue (ascending); ties broken by the natural
     customer key.  Both NTILEs are computed with distributed global
-    positions (no single-partition window).
+    positions (no single-partition window).  A stored model keeps the result.
     """
+    if snapshot is None and buckets == 5:
+        return star.once("customer_rfm", lambda: _customer_rfm(star, None, buckets))
+    return _customer_rfm(star, snapshot, buckets)
+
+
+def _customer_rfm(star: Star, snapshot: str | None, buckets: int) -> DataFrame:
     cm = customer_metrics(star, snapshot).select(
         "customer_id", "customer_name", "state", "city", "days_since_last_order",
         "order_count", "total_revenue", "total_profit", "first_order_date", "last_order_date")

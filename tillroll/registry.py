@@ -232,6 +232,13 @@ def _drop(fn, *cols):
     return run
 
 
+def _orders_with_identity(stg):
+    """T3 with the customer it is linked to: the key joined back to the dimension."""
+    people = cleaning.build_dim_customer(stg)
+    return cleaning.build_fact_orders(stg).join(people, "customer_id", "left").select(
+        "order_id", "order_date", "customer_name", "state", "city")
+
+
 def staging_jobs() -> dict[str, Callable]:
     q, c = quality, cleaning
     return {
@@ -267,7 +274,7 @@ def staging_jobs() -> dict[str, Callable]:
         "exc_breakdown": _breakdown,
         "build_dim_sub_category": _stg_job(c.build_dim_sub_category),
         "build_dim_customer": _stg_job(_drop(c.build_dim_customer, "customer_id")),
-        "build_fact_orders": _stg_job(_drop(c.build_fact_orders, "customer_id")),
+        "build_fact_orders": _stg_job(_orders_with_identity),
         "build_fact_lines": _stg_job(c.build_fact_lines),
         "build_fact_target": _stg_job(c.build_fact_target),
         "assert_row_counts": _stg_job(q.assert_row_counts),

@@ -3,8 +3,8 @@
 Output goes under a *shared* directory: an explicit path, or a folder in the
 session's reliable checkpoint directory (``spark.checkpoint.dir``), never a
 machine-local temporary folder.  Writes are ``overwrite``: a reload empties
-the target first, so a rebuild is idempotent.  Facts are partitioned by
-order month so later jobs prune by date.
+the target first, so a rebuild is idempotent.  The order
+fact of S5 is partitioned by order month, so a reader prunes it by date.
 """
 
 from __future__ import annotations
@@ -12,8 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.operators.ordering import pinned_until_written
 from tillroll.session import shared_path
-from tillroll.sources.tables import Star, line_measures, star_from_facts
+from tillroll.sources.tables import Star, line_measures, per_order_values, star_from_facts
 
 MODEL_TABLES = ("dim_customer", "dim_sub_category", "fact_orders", "fact_order_lines",
                 "fact_sales_target")
@@ -28,8 +29,9 @@ def write_model(star: Star, path: str) -> None:
     """S5/S6 - write the five modelled tables (overwrite = full reload)."""
     star.dim_customer.write.mode("overwrite").parquet(f"{path}/dim_customer")
     star.dim_sub_category.write.mode("overwrite").parquet(f"{path}/dim_sub_category")
+    # clustered by month first, so each month is written by few tasks
     (star.fact_orders.withColumn("order_month", F.date_format("order_date", "yyyy-MM"))
-     .write.mode("overwrite").partitionBy("order_month").parquet(f"{path}/fact_orders"))
+     .hint("rebalance", F.col("order_month")).write.mode("overwrite").partitionBy("order_month").parquet(f"{path}/fact_orders"))
     star.fact_order_lines.write.mode("overwrite").parquet(f"{path}/fact_order_lines")
     star.fact_sales_target.write.mode("overwrite").parquet(f"{path}/fact_sales_target")
 
@@ -52,23 +54,46 @@ def model_row_counts(star: Star) -> DataFrame:
 
 
 TARGET_BUCKET_BYTES = 256 * 1024 * 1024
-MAX_BUCKETS = 65536
+#: Bytes of the stored line fact for each byte of the line scan: it keeps as many
+#: numbers a line as the scan reads, and the sub-category's name.
+STORED_PER_SCANNED = 1.5
 
 
-def bucket_count(df: DataFrame, target_bytes: int = TARGET_BUCKET_BYTES,
-                 cap: int = MAX_BUCKETS) -> int:
-    """Buckets for a fact: ~``target_bytes`` each by the optimizer's size
-    estimate, at least twice the default parallelism, at most ``cap``."""
-    spark = df.sparkSession
-    floor = 2 * spark.sparkContext.defaultParallelism
+def scan_bytes(scan: DataFrame) -> int:
+    """Optimizer's size of a table scan with its column selection."""
+    size = int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 58:  # Spark's default for a source without a size
+        raise ValueError("the source has no size estimate; set spark.tillroll.model.buckets")
+    return size
+
+
+def bucket_count(scan: DataFrame, target_bytes: int = TARGET_BUCKET_BYTES) -> int:
+    """Buckets for the facts: ~``target_bytes`` each by the size of the *line scan*
+    (a join's estimate would multiply its sides), at least twice the default parallelism."""
+    spark = scan.sparkSession
     configured = spark.conf.get("spark.tillroll.model.buckets", None)
     if configured:
         return int(configured)
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - an estimate only; fall back to parallelism
-        return floor
-    return max(floor, min(cap, -(-size // target_bytes)))
+    stored = int(scan_bytes(scan) * STORED_PER_SCANNED)
+    return max(2 * spark.sparkContext.defaultParallelism, -(-stored // target_bytes))
+
+
+class Kept:
+    """Results derived from a stored model, each written beside it once.
+
+    Orderings pinned while a result is built are removed when it is written.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.names = spark, path, set()
+
+    def __call__(self, name: str, build) -> DataFrame:
+        path = f"{self.path}/kept_{name}"
+        if name not in self.names:
+            with pinned_until_written(self.spark):
+                build().write.mode("overwrite").parquet(path)
+            self.names.add(name)
+        return self.spark.read.parquet(path)
 
 
 def materialize_star(star: Star, path: str, buckets: int | None, tag: str) -> Star:
@@ -86,7 +111,7 @@ def materialize_star(star: Star, path: str, buckets: int | None, tag: str) -> St
     """
     spark = star.fact_orders.sparkSession
     if buckets is None:
-        buckets = bucket_count(star.fact_order_lines)
+        buckets = bucket_count(star.line_scan)
 
     def bucketed(df: DataFrame, name: str, partitioned: bool = False) -> DataFrame:
         table = f"{tag}_{name}"
@@ -106,16 +131,20 @@ def materialize_star(star: Star, path: str, buckets: int | None, tag: str) -> St
     if star.line_inputs is not None:
         # the measures are computed after the bucketing shuffle, spread over
         # all buckets rather than over the scan splits of the source
-        lines = bucketed(line_measures(star.line_inputs.repartition(buckets, "order_id")),
+        # (rebalanced: an order with a large share of the lines is several files)
+        lines = bucketed(line_measures(star.line_inputs.hint("rebalance", buckets, F.col("order_id"))),
                          "fact_order_lines", partitioned=True)
     else:
         lines = bucketed(star.fact_order_lines, "fact_order_lines")
+    # One row per order for the per-order jobs.  The files are read without their
+    # buckets, so a hot order's lines are added up in many tasks before they meet.
+    values = bucketed(per_order_values(spark.read.parquet(f"{path}/fact_order_lines")), "order_values")
     derived = star_from_facts(wide, lines)
     return Star(plain(derived.dim_customer, "dim_customer"),
                 plain(derived.dim_sub_category, "dim_sub_category"),
                 derived.fact_orders, lines,
                 plain(derived.fact_sales_target, "fact_sales_target"),
-                wide)
+                wide, order_values=values, kept=Kept(spark, path))
 
 
 def write_log(df: DataFrame, path: str) -> DataFrame:

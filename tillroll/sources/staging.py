@@ -102,9 +102,12 @@ def build_staging(spark: SparkSession, sf_dir: str) -> Staging:
 
 
 def read_text_csv(spark: SparkSession, path: str, header_names, names) -> DataFrame:
-    """Read a headed CSV as all-text columns; drop rows that are wholly blank."""
+    """Read a headed CSV as all-text columns; drop rows that are wholly blank.
+
+    The header names are checked: a file with other or swapped columns is an error.
+    """
     df = (spark.read.schema(text_schema(header_names))
-          .option("header", True).option("enforceSchema", True)
+          .option("header", True).option("enforceSchema", False)
           .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
           .csv(path))
     df = df.toDF(*names)
