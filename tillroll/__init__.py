@@ -9,7 +9,6 @@ operators  distributed helpers Spark lacks as one call (global positions,
            NTILE / RANK / running sums without a single-partition window)
 plans      the jobs themselves: views, business questions, data-quality
            checks, cleaning transforms, load assertions, validation suite
-streaming  intentionally empty: nothing in the reference is a stream
 """
 
 from tillroll.session import ensure_checkpoint_dir, local_session
