@@ -10,7 +10,7 @@ from conftest import SF_SMALL
 from tillroll.plans import cleaning, geo_time, sales, views
 from tillroll.registry import present
 from tillroll.sources import sinks
-from tillroll.sources.staging import build_staging
+from tillroll.sources.staging import staging_from_star
 from tillroll.sources.tables import build_star
 
 
@@ -24,7 +24,7 @@ def _same(a, b):
 
 def test_staging_path_equals_direct_path(spark):
     direct = build_star(spark, SF_SMALL)
-    staged = cleaning.star_from_staging(build_staging(spark, SF_SMALL))
+    staged = cleaning.star_from_staging(staging_from_star(build_star(spark, SF_SMALL)))
     for job in (sales.kpi_summary, sales.category_scorecard, geo_time.state_scorecard,
                 views.sales_vs_target):
         _same(job(direct), job(staged))

@@ -55,6 +55,13 @@ def heavy_keys(big: DataFrame, keys: Sequence[str], fraction: float,
     return counts.filter(F.col("_n") * 2 >= total * fraction).select(*keys)
 
 
+def broadcast_checked(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """``df``, pinned, marked for broadcast if it has at most ``most_rows`` rows; else a shuffle join takes it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    pinned = df.checkpoint(eager=True)
+    return F.broadcast(pinned) if pinned.limit(most_rows + 1).count() <= most_rows else pinned
+
+
 def skew_split_join(big: DataFrame, dim: DataFrame, big_keys: Sequence[str],
                     dim_keys: Sequence[str], fraction: float | None = None,
                     sample: float = SAMPLE_FRACTION) -> DataFrame:

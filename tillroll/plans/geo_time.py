@@ -91,9 +91,11 @@ def city_performance(star: Star, min_orders: int = 10) -> DataFrame:
             .orderBy(F.desc("revenue"), "city", "state"))
 
 
-def loss_states(star: Star) -> DataFrame:
-    """Q12 - states with profit <= 0, worst first."""
-    return (_line_side(star, ["state"]).filter(F.col("profit") <= 0)
+def loss_states(star: Star, of_mean: float = 0.0) -> DataFrame:
+    """Q12 - states with profit <= ``of_mean`` times the mean state's profit (0: losses), worst first."""
+    states = _line_side(star, ["state"])
+    bound = F.lit(of_mean) * states.agg(F.sum("profit").cast("double") / F.count(F.lit(1))).scalar()
+    return (states.filter(F.col("profit").cast("double") <= (F.lit(0.0) if of_mean == 0 else bound))
             .select("state", "revenue", "profit", margin_pct().alias("margin_pct"))
             .orderBy("profit", "state"))
 

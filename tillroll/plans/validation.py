@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.measures import avg2, ratio_pct
-from tillroll.plans import quality
+from tillroll.plans import cleaning, quality
 from tillroll.plans.customers import top3_per_state
 from tillroll.plans.views import (customer_metrics, customer_rfm, monthly_sales, order_summary,
                                   sales_vs_target, state_performance, sub_category_performance)
@@ -232,11 +232,17 @@ def val_exception_count(star: Star, stg: Staging, rules: DataFrame,
     if expected is None:
         o = stg.raw_orders.select("order_id", F.trim("city").alias("city"),
                                   F.trim("state").alias("state"), F.col("state").alias("raw_state"))
-        loss = _n(stg.raw_order_details.filter(quality._loss_exceeds_revenue()))
-        known = o.join(rules.select("city").distinct(), "city", "left_semi")
-        impossible = _n(known.join(rules, ["city", "state"], "left_anti"))
-        shared = _n(o.join(rules.groupBy("city").count().filter("count > 1"), "city", "left_semi"))
-        padded = _n(o.filter(F.col("raw_state") != F.trim("raw_state")))
+        # counted another way than the log is built: losses by arithmetic on the modelled
+        # numbers, places from orders grouped by place, padding by length
+        lines = cleaning.build_fact_lines(stg)
+        loss = _n(lines.filter((F.col("amount") + F.col("profit") < 0) | (F.col("profit") > F.col("amount"))))
+        places = o.groupBy("city", "state").agg(F.count(F.lit(1)).alias("n"))
+        valid = rules.groupBy("city").agg(F.collect_set("state").alias("states"))
+        judged = places.join(valid, "city")
+        rows = lambda cond: judged.agg(F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))).scalar()
+        impossible = rows(~F.array_contains("states", F.col("state")))
+        shared = rows(F.size("states") > 1)
+        padded = _n(o.filter(F.length("raw_state") > F.length(F.trim("raw_state"))))
         target = loss + impossible + shared + padded
     else:
         target = F.lit(expected)

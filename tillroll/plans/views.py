@@ -147,13 +147,20 @@ def rfm_segment(r: Column, f: Column, m: Column) -> Column:
             .otherwise(RFM_DEFAULT_SEGMENT))
 
 
-def frequency_score(order_count: Column) -> Column:
+#: Orders from which a customer's frequency scores 3, 4 and 5.  The original extract has
+#: one to four orders a customer (cut-offs 2, 3, 4), the driver tables about ten.
+FREQUENCY_CUTS = (10, 12, 14)
+
+
+def frequency_score(order_count: Column, cuts=FREQUENCY_CUTS) -> Column:
     """Rule-scored frequency (NTILE would split tied counts, see Q23)."""
-    return (F.when(order_count >= 4, 5).when(order_count == 3, 4)
-            .when(order_count == 2, 3).otherwise(1))
+    three, four, five = cuts
+    return (F.when(order_count >= five, 5).when(order_count >= four, 4)
+            .when(order_count >= three, 3).otherwise(1))
 
 
-def customer_rfm(star: Star, snapshot: str | None = None, buckets: int = 5) -> DataFrame:
+def customer_rfm(star: Star, snapshot: str | None = None, buckets: int = 5,
+                 cuts=FREQUENCY_CUTS) -> DataFrame:
     """W6 - RFM scores and segment per customer.
 
     r = buckets+1 - NTILE over days since last order (ascending),
@@ -161,12 +168,12 @@ def customer_rfm(star: Star, snapshot: str | None = None, buckets: int = 5) -> D
     customer key.  Both NTILEs are computed with distributed global
     positions (no single-partition window).  A stored model keeps the result.
     """
-    if snapshot is None and buckets == 5:
-        return star.once("customer_rfm", lambda: _customer_rfm(star, None, buckets))
-    return _customer_rfm(star, snapshot, buckets)
+    if snapshot is None and buckets == 5 and cuts == FREQUENCY_CUTS:
+        return star.once("customer_rfm", lambda: _customer_rfm(star, None, buckets, cuts))
+    return _customer_rfm(star, snapshot, buckets, cuts)
 
 
-def _customer_rfm(star: Star, snapshot: str | None, buckets: int) -> DataFrame:
+def _customer_rfm(star: Star, snapshot: str | None, buckets: int, cuts) -> DataFrame:
     cm = customer_metrics(star, snapshot).select(
         "customer_id", "customer_name", "state", "city", "days_since_last_order",
         "order_count", "total_revenue", "total_profit", "first_order_date", "last_order_date")
@@ -176,7 +183,7 @@ def _customer_rfm(star: Star, snapshot: str | None, buckets: int) -> DataFrame:
         "r_score", (F.lit(buckets + 1) - ntile(RN, N, buckets)).cast("int")).drop(RN, N)
     by_money = global_positions(by_recency, ["total_revenue", *tb])
     scored = by_money.withColumn("m_score", ntile(RN, N, buckets).cast("int")).drop(RN, N)
-    scored = scored.withColumn("f_score", frequency_score(F.col("order_count")).cast("int"))
+    scored = scored.withColumn("f_score", frequency_score(F.col("order_count"), cuts).cast("int"))
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     return scored.select(
         "customer_id", "customer_name", "state", "city", "days_since_last_order",

@@ -21,9 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.operators.joins import skew_split_join
-from tillroll.sources.tables import (build_star, category_of, line_amount, line_profit,
-                                     read_table, source_orders_wide)
+from tillroll.sources.tables import category_of
 
 RAW_ORDERS_COLUMNS = ("order_id", "order_date", "customer_name", "state", "city")
 RAW_DETAILS_COLUMNS = ("order_id", "amount", "profit", "quantity", "category", "sub_category")
@@ -45,43 +43,31 @@ class Staging:
     raw_sales_target: DataFrame
 
 
-def stage_raw_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = source_orders_wide(spark, sf_dir)
-    return w.select(
-        F.col("order_id").cast("string").alias("order_id"),
-        F.date_format("order_date", "dd-MM-yyyy").alias("order_date"),
-        "customer_name", "state", "city")
-
+# The defect layer: faults that the profiling checks look for, put into the state
+# text of whole orders by their number (modulus, remainder).  The driver tables have
+# none, and a check that finds nothing proves nothing.
+MISPLACED, PADDED, RESPELT = (167, 8), (89, 4), (131, 6)
+UNKNOWN_STATE = "ATLANTIS"
 
-def stage_raw_order_details(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    j = skew_split_join(li, part, ["l_partkey"], ["p_partkey"])
-    return j.select(
-        F.col("l_orderkey").cast("string").alias("order_id"),
-        line_amount(F.col("l_extendedprice"), F.col("l_discount")).cast("string").alias("amount"),
-        line_profit(F.col("l_extendedprice"), F.col("l_discount"), F.col("l_quantity"),
-                    F.col("p_retailprice")).cast("string").alias("profit"),
-        F.col("l_quantity").cast("int").cast("string").alias("quantity"),
-        category_of(F.col("p_name")).alias("category"),
-        F.col("p_name").alias("sub_category"))
 
+def with_defects(raw_orders: DataFrame) -> DataFrame:
+    """Every 167th order in a state that its city is not in, every 89th with a padded, every 131st
+    with a lower-case state (the first that applies)."""
+    def hit(rule):
+        return F.pmod(F.col("order_id").cast("long"), F.lit(rule[0])) == rule[1]
+    return raw_orders.withColumn("state", F.when(hit(MISPLACED), F.lit(UNKNOWN_STATE))
+                                 .when(hit(PADDED), F.concat("state", F.lit(" ")))
+                                 .when(hit(RESPELT), F.lower("state")).otherwise(F.col("state")))
 
-def stage_raw_sales_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = build_star(spark, sf_dir).fact_sales_target
-    return t.select(F.date_format("target_month", "MMM-yy").alias("month_of_order_date"),
-                    "category", F.col("target_amount").cast("string").alias("target"))
 
-
-def staging_from_star(star) -> Staging:
-    """The same text staging tables rendered from an (already built) star:
-    no second join of the large driver tables."""
+def staging_from_star(star, defects: bool = False) -> Staging:
+    """The text staging tables rendered from an (already built) star, with the defect layer if asked for."""
     o = star.orders_with_customer()
     raw_orders = o.select(
         F.col("order_id").cast("string").alias("order_id"),
         F.date_format("order_date", "dd-MM-yyyy").alias("order_date"),
         "customer_name", "state", "city")
+    raw_orders = with_defects(raw_orders) if defects else raw_orders
     ln = star.fact_order_lines
     raw_details = ln.select(
         F.col("order_id").cast("string").alias("order_id"),
@@ -96,11 +82,6 @@ def staging_from_star(star) -> Staging:
     return Staging(raw_orders, raw_details, raw_target)
 
 
-def build_staging(spark: SparkSession, sf_dir: str) -> Staging:
-    return Staging(stage_raw_orders(spark, sf_dir), stage_raw_order_details(spark, sf_dir),
-                   stage_raw_sales_target(spark, sf_dir))
-
-
 def read_text_csv(spark: SparkSession, path: str, header_names, names) -> DataFrame:
     """Read a headed CSV as all-text columns; drop rows that are wholly blank.
 

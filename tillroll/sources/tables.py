@@ -200,15 +200,20 @@ def build_star(spark: SparkSession, sf_dir: str) -> Star:
     return replace(star, line_inputs=inputs, line_scan=line_scan(spark, sf_dir))
 
 
+# Cities that span two states (fixed values of the reference list): city, second state.
+SHARED_CITIES = (("NATION_0/BUILDING", "NATION_1"),)
+
+
 def geography_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(city, state) pairs that exist: every nation's segment cities.
 
     The rule table for the impossible-geography check (E2/E3); derived from
-    the customer and nation tables, i.e. a reference list of places.
+    the customer and nation tables, i.e. a reference list of places, and the
+    cities that are known to span two states.
     """
     cust = read_table(spark, sf_dir, "customer").select("c_nationkey", "c_mktsegment")
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     return (cust.join(nation, cust.c_nationkey == nation.n_nationkey)
             .select(F.concat(F.col("n_name"), F.lit("/"), F.col("c_mktsegment")).alias("city"),
                     F.col("n_name").alias("state"))
-            .distinct())
+            .union(spark.createDataFrame(SHARED_CITIES, "city string, state string")).distinct())
