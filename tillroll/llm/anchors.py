@@ -90,7 +90,7 @@ def _anchors(codes: np.ndarray, first: np.ndarray, w: Windows):
     lo, hi, a = window[head], window[np.append(head[1:], len(window)) - 1], place[head]
     row = np.searchsorted(first, lo, "right") - 1
     ctx = roll(lo, hi + w.width) ^ C.mix(((a - lo) << 32 | (a - hi)).astype(np.uint64))
-    return row, lo, hi, a, seeds[a], ctx
+    return row, lo, hi, a, C.mix(seeds[a]), ctx  # anchors have small hashes: mixed again, keys are spread evenly
 
 
 def _heads(key, ctx):
@@ -227,7 +227,7 @@ def parts_of(w: Windows, buckets: int, payload: Callable):
                 base = first[row - i]
                 b, e, o, s = base + lo[rows], base + hi[rows], off[rows], st[rows]
                 a = b + o
-                key = roll(a, a + w.seed)
+                key = C.mix(roll(a, a + w.seed))
                 split = hot[rows].astype(bool)
                 left = split & (a - b >= half)
                 right = split & (a - e < half)
