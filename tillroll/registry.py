@@ -186,15 +186,21 @@ def _csv_roundtrip(table: str, header, names) -> Callable[[SparkSession, str], D
     return run
 
 
-def _sink_model(reloads: int) -> Callable[[SparkSession, str], DataFrame]:
-    """S5/S6 - populate the model from staging (``reloads`` times), read it back."""
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        star = cleaning.star_from_staging(staging(spark, sf_dir))
-        path = sinks.shared_dir(spark, "model")
-        for _ in range(reloads):
-            sinks.write_model(star, path)
-        return sinks.model_row_counts(sinks.read_model(spark, path))
-    return run
+def _sink_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S5 - populate the model from staging; its rows, read back."""
+    return sinks.model_rows(written_model(spark, sf_dir))
+
+
+def _full_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S6 - a load over an earlier one with other rows; the rows, read back."""
+    stg = staging(spark, sf_dir)
+    path = sinks.shared_dir(spark, "model")
+    odd = F.pmod(F.col("order_id").cast("long"), F.lit(2)) == 1
+    earlier = Staging(stg.raw_orders.filter(odd).withColumn("city", F.lit("OLD")),
+                      stg.raw_order_details.filter(odd).withColumn("sub_category", F.lit("old")), stg.raw_sales_target)
+    sinks.write_model(cleaning.star_from_staging(earlier), path)
+    sinks.write_model(cleaning.star_from_staging(stg), path)
+    return sinks.model_rows(sinks.read_model(spark, path))
 
 
 def _sink_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,8 +272,8 @@ def staging_jobs() -> dict[str, Callable]:
         "stage_raw_sales_target": _stg_job(lambda s: s.raw_sales_target),
         "src_orders_csv": _csv_roundtrip("raw_orders", ORDERS_CSV_HEADER, RAW_ORDERS_COLUMNS),
         "src_target_csv": _csv_roundtrip("raw_sales_target", TARGET_CSV_HEADER, RAW_TARGET_COLUMNS),
-        "sink_model": _sink_model(1),
-        "full_reload": _sink_model(2),
+        "sink_model": _sink_model,
+        "full_reload": _full_reload,
         "sink_exceptions": _sink_exceptions,
         "named_views": _named_views,
         "dq_row_counts": _stg_job(q.dq_row_counts),

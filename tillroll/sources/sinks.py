@@ -53,6 +53,27 @@ def model_row_counts(star: Star) -> DataFrame:
     return out
 
 
+def model_rows(star: Star) -> DataFrame:
+    """Every row of the five tables as (table_name, row): what a load has written, to be compared whole.
+
+    The order fact is shown with the customer that its key links to.
+    """
+    shown = {
+        "dim_customer": star.dim_customer.select("customer_name", "state", "city"),
+        "dim_sub_category": star.dim_sub_category.select("sub_category", "category"),
+        "fact_orders": star.fact_orders.join(star.dim_customer, "customer_id", "left").select(
+            "order_id", "order_date", "customer_name", "state", "city"),
+        "fact_order_lines": star.fact_order_lines.select("order_id", "sub_category", "amount", "profit", "quantity"),
+        "fact_sales_target": star.fact_sales_target.select("target_month", "category", "target_amount"),
+    }
+    frames = [df.select(F.lit(name).alias("table_name"), F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]).alias("row"))
+              for name, df in shown.items()]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 TARGET_BUCKET_BYTES = 256 * 1024 * 1024
 #: Bytes of the stored line fact for each byte of the line scan: it keeps as many
 #: numbers a line as the scan reads, and the sub-category's name.
