@@ -121,11 +121,12 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     labels = stored(both.groupBy(F.col("u").alias("node")).agg(
         F.least(F.min("v"), F.first("u")).alias("component")), f"{name}-labels")
     while True:
-        near = (both.join(labels.withColumnRenamed("node", "v"), "v")
+        known = broadcast_if_small(labels)
+        near = (both.join(known.withColumnRenamed("node", "v"), "v")
                 .groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near")))
-        step = labels.join(near, "node").select(
+        step = near.join(known, "node").select(
             "node", F.col("component").alias("old"), F.least("component", "near").alias("c"))
-        jump = labels.select(F.col("node").alias("c"), F.col("component").alias("far"))
+        jump = known.select(F.col("node").alias("c"), F.col("component").alias("far"))
         step = stored(step.join(jump, "c", "left").select(
             "node", "old", F.least("c", F.coalesce("far", "c")).alias("component")), f"{name}-labels")
         labels = step.select("node", "component")
