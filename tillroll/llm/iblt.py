@@ -1,6 +1,7 @@
 """Operator 3 - document fingerprints as invertible Bloom lookup sketches (DataFrame operations only).
 
-A text's paragraphs (lines, cut at sentence ends) are hashed to 64-bit digests.
+A text's paragraphs (lines; long ones in pieces that end with a sentence) are
+hashed to 64-bit digests.
 A sketch is three tables of ``width`` cells; each digest adds itself to one cell
 of each table: a count, the xor of digests, the xor of their checks.  Sketches
 of two versions subtract cell by cell, and what is left holds only the
@@ -9,7 +10,7 @@ digest, which is taken out of its other cells (peeling) until all are empty.
 
 The fingerprint is the small sketch (12 cells).  When its difference does not
 peel, larger sketches are built from the paragraphs: digests are dealt by
-their bits to groups of about eight, a sketch for each, and a group that fails is
+their bits to groups of at most about eight, a sketch for each, and a group that fails is
 tried again with four times the width, at last by plain set difference.
 
 Special rows: null text is empty; equal texts have equal fingerprints and
@@ -25,16 +26,17 @@ from pyspark.sql import functions as F
 
 from tillroll.llm import common as C
 
-PARAGRAPH = r"(?<=[.!?])[ ]+|\n+"
+#: A paragraph: a line, or a piece of a long one from 400 characters on to the next sentence end.
+PARAGRAPH = r"[^\n]{1,400}[^\n.!?]*[.!?]*"
 BASE_WIDTH, WIDTHS = 4, (8, 32, 128, 512)
-ROUNDS = 9
+ROUNDS = 5
 #: Text bytes in each range of the successor search.
 RANGE_BYTES = 4 << 20
 
 
 def digests(text: Column) -> Column:
     """Distinct 64-bit digests of a text's paragraphs."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, PARAGRAPH), lambda x: x != ""), lambda x: F.xxhash64(x)))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PARAGRAPH), F.lit(0)), lambda x: F.xxhash64(x)))
 
 
 def _place(key: Column, table: int, width: int) -> Column:
@@ -121,7 +123,7 @@ def fingerprint(cells: Column) -> Column:
 
 def add_difference(df: DataFrame, a: str, b: str, base_a: str, base_b: str, out: str) -> DataFrame:
     """Column ``out``: how many digests of the arrays ``a`` and ``b`` differ, from the base sketches or larger ones."""
-    n = lambda s: F.size(s["plus"]) + F.size(s["minus"])
+    n = lambda d: _let(d, lambda s: F.size(s["plus"]) + F.size(s["minus"]))
     small = n(peel(subtract(F.col(base_a), F.col(base_b)), BASE_WIDTH, 6))
     df = df.withColumn("_few", F.when(F.col(a) == F.col(b), F.lit(0)).otherwise(small)).withColumn("_of", group_count(a, b))
     large = F.aggregate(F.zip_with(groups(a, "_of"), groups(b, "_of"), lambda x, y: F.when(x == y, F.lit(0)).otherwise(n(_group_difference(x, y)))),
@@ -153,7 +155,8 @@ def _ranges(rows: DataFrame, n: int) -> Column:
 
 
 def with_successor(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): each text with that of the next row in order of doc_id, the last with the first's.
+    """(doc_id, text, own, next_text, following): each text and its digests with those of the
+    next row in order of doc_id, the last with the first's.
 
     Rows are dealt to ranges of ids (one shuffle of the text); the first row of each range
     is also sent, as a guest, to the end of the range before.
@@ -161,21 +164,23 @@ def with_successor(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("_d"), text.alias("text"))
     rows = rows.withColumn("_range", _ranges(rows, -(-(C.scan_bytes(docs) or 0) // RANGE_BYTES)))
-    first = rows.groupBy("_range").agg(F.min(F.struct("_d", "text")).alias("f"))
+    rows = rows.withColumn("own", digests(F.col("text")))
+    first = rows.groupBy("_range").agg(F.min(F.struct("_d", "text", "own")).alias("f"))
     line = Window.orderBy("_range")  # one row for each range
     before = F.coalesce(F.lag("_range").over(line), F.max("_range").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    guests = first.select(F.lit(None).cast("long").alias("doc_id"), "f._d", "f.text", before.alias("_range"), F.lit(1).alias("_guest"))
+    guests = first.select(F.lit(None).cast("long").alias("doc_id"), "f._d", "f.text", before.alias("_range"), "f.own", F.lit(1).alias("_guest"))
     order = Window.partitionBy("_range").orderBy("_guest", "_d", "text")
-    return (rows.withColumn("_guest", F.lit(0)).unionByName(guests).withColumn("next_text", F.lead("text").over(order))
-            .where("_guest = 0").select("doc_id", "text", "next_text"))
+    return (rows.withColumn("_guest", F.lit(0)).unionByName(guests)
+            .withColumns({"next_text": F.lead("text").over(order), "following": F.lead("own").over(order)})
+            .where("_guest = 0").select("doc_id", "text", "own", "next_text", "following"))
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
     """A row per document: its and its edited text's fingerprint, and how like they and its successor's are."""
     rows = with_successor(docs).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), F.expr("left(next_text, cast(n_chars div 2 as int))")))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), digests(F.col("text")).alias("own"),
-                       digests(F.col("edited")).alias("new"), digests(F.col("next_text")).alias("following"))
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own",
+                       digests(F.col("edited")).alias("new"), "following")
     rows = rows.withColumns({f"{c}_sketch": sketch(F.col(c), BASE_WIDTH) for c in ("own", "new", "following")})
     rows = add_difference(rows, "own", "new", "own_sketch", "new_sketch", "edits")
     rows = add_difference(rows, "own", "following", "own_sketch", "following_sketch", "others")
