@@ -6,7 +6,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
-from conftest import edge_rows, table
+from conftest import edge_rows, passage, table
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -155,3 +155,11 @@ def test_stages_on_edges(spark, edges, nothing):
         stages.mixed(docs).count()
     kept = stages.keep_one_of_each_group(edges).select("doc_id", "text").collect()
     assert sum(r.doc_id == 4 for r in kept) == 1 and sum((r.text or "").strip() == "" for r in kept) == 3
+
+
+def test_unrelated_texts_of_one_id_stay(spark):
+    """Groups are not their smallest id: null and repeated ids stand on texts that have nothing in common."""
+    texts = [" ".join(passage(i, 60)) for i in range(20, 28)]
+    rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:]] + [(8, texts[0]), (9, texts[5])]
+    kept = stages.keep_one_of_each_group(table(spark, [(d, t, "s") for d, t in rows])).select("doc_id", "text").collect()
+    assert Counter(map(tuple, kept)) == Counter(rows[:8])
