@@ -163,3 +163,21 @@ def test_unrelated_texts_of_one_id_stay(spark):
     rows = [(None, t) for t in texts[:4]] + [(7, t) for t in texts[4:]] + [(8, texts[0]), (9, texts[5])]
     kept = stages.keep_one_of_each_group(table(spark, [(d, t, "s") for d, t in rows])).select("doc_id", "text").collect()
     assert Counter(map(tuple, kept)) == Counter(rows[:8])
+
+
+def test_blocks_of_equal_rows(spark):
+    """A table united with itself and a row in each partition: blocks with the same rows are scored each for itself."""
+    texts = [" ".join(passage(i, 30)) for i in range(40, 46)]
+    base = table(spark, [(i, t, "s") for i, t in enumerate(texts)]).coalesce(1)
+    same = table(spark, [(1, texts[1], "s")] * 4).repartition(4)
+    for docs, times in ((base.unionByName(base), 2), (base.unionByName(same), 1)):
+        out = brown.score_texts(docs, F.col("doc_id") == 5).collect()
+        rows = [(i, t) for i, t in enumerate(texts)] * times + [(1, texts[1])] * (0 if times == 2 else 4)
+        count = Counter(w for i, t in rows if i != 5 for w in [*t.split(), None])
+        n, v = sum(count.values()), len(count)
+        want = Counter()
+        for i, t in rows:
+            words = [*t.split(), None]
+            want[i, len(words), sum(count[w] > 0 for w in words), n, round(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words), 6)] += 1
+        assert Counter((r["_d"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
+        assert len({(r["_d"], round(r["score"], 6)) for r in out}) == len(texts)

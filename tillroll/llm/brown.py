@@ -45,7 +45,7 @@ DISCOUNT, PRIOR = 0.6, 20.0
 BLOCK_BYTES = 8 << 20
 END_CODE = np.uint64(0x9E3779B97F4A7C15)
 
-BLOCKS = "block long, d binary, t binary, held binary, first binary, ids binary, vocab binary, counts binary"
+BLOCKS = "d binary, t binary, held binary, first binary, ids binary, vocab binary, counts binary"
 
 
 def _column(df_schema: str) -> list[str]:
@@ -60,11 +60,9 @@ def _blocks(batches) -> Iterator[pa.RecordBatch]:
         by_count = np.argsort(-every, kind="stable")  # frequent words have small numbers
         number = np.empty(len(vocab), np.int64)
         number[by_count] = np.arange(len(vocab))
-        own = C.mix(d.view(np.uint64) * np.uint64(3) + t.astype(np.uint64))
-        name = int(C.mix(np.array([C.mix(own).sum() ^ own[0] + np.uint64(len(d))], np.uint64)).view(np.int64)[0])
-        row = (name, C.planes(d), C.planes(t), held.tobytes(), C.planes(np.cumsum(size) - size), C.planes(number[ids].astype(np.int32)),
+        row = (C.planes(d), C.planes(t), held.tobytes(), C.planes(np.cumsum(size) - size), C.planes(number[ids].astype(np.int32)),
                C.pack_keys(vocab), C.planes(np.stack([train, number], 1).astype(np.int32).ravel()))
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.int64() if k == 0 else pa.binary()) for k, x in enumerate(row)], names=_column(BLOCKS))
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=_column(BLOCKS))
 
     parts, size = [], 0
     for batch in batches:
@@ -367,7 +365,8 @@ def score_texts(docs: DataFrame, held_out, lexicon_size: int = LEXICON, sweeps:
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("_d"), F.hash(text).alias("_t"),
                        text.alias("text"), F.coalesce(held_out, F.lit(False)).alias("held"))
     buckets = C.bucket_count(docs)
-    blocks = C.stored(rows.mapInArrow(_blocks, BLOCKS), "lm-blocks")
+    # numbered as they are written: blocks that hold the same rows stay apart
+    blocks = C.stored(rows.mapInArrow(_blocks, BLOCKS).withColumn("block", F.monotonically_increasing_id()), "lm-blocks")
     # the lexicon and its bigrams: tables bounded by lexicon_size
     top = (blocks.mapInArrow(_send_counts(buckets), "bucket int, keys binary, counts binary")
            .groupBy("bucket").applyInArrow(_top_words(lexicon_size), "word long, n long")
