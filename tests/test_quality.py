@@ -180,3 +180,13 @@ def test_csv_reader_drops_blank_rows(spark, tmp_path):
     assert len(rows) == 3
     assert rows[0].state == "Alba "                         # padding preserved, raw stays raw
     assert all(isinstance(v, str) for v in rows[0])
+
+
+def test_every_variant_is_listed(spark):
+    """A key with many spellings or states lists all of them beside their count."""
+    from types import SimpleNamespace
+    states = ["".join(c.upper() if i >> k & 1 else c for k, c in enumerate("longname")) for i in range(250)]
+    stg = SimpleNamespace(raw_orders=spark.createDataFrame([(" Twinford", s) for s in states], "city string, state string"))
+    whole = ",".join(sorted(states))
+    assert [tuple(r) for r in quality.dq_case_variants(stg).collect()] == [("longname", 250, whole)]
+    assert [tuple(r) for r in quality.dq_city_multi_state(stg).collect()] == [("Twinford", 250, whole)]

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.operators.joins import broadcast_checked
@@ -110,16 +110,10 @@ def dq_whitespace(stg: Staging) -> DataFrame:
         scan(stg.raw_order_details, ["category", "sub_category"]))
 
 
-#: Spellings that a report lists; the count beside them is of all.
-LISTED = 100
-
-
 def _variants(pairs: DataFrame, key: str, value: str, count: str, listed: str) -> DataFrame:
-    """Keys of distinct (key, value) pairs that have several values, with the first of them."""
-    several = pairs.groupBy(key).agg(F.count(F.lit(1)).alias(count)).filter(F.col(count) > 1)
-    first = pairs.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(value))).filter(f"_i <= {LISTED}")
-    lists = first.groupBy(key).agg(F.array_join(F.array_sort(F.collect_list(value)), ",").alias(listed))
-    return several.join(lists, key)
+    """Keys of distinct (key, value) pairs that have several values, with all of them."""
+    return (pairs.groupBy(key).agg(F.count(F.lit(1)).alias(count), F.array_join(F.array_sort(F.collect_list(value)), ",").alias(listed))
+            .filter(F.col(count) > 1))
 
 
 def dq_case_variants(stg: Staging, column: str = "state") -> DataFrame:
