@@ -106,6 +106,32 @@ def test_fingerprints(spark, small, nothing, edges):
     assert Counter(r[0] for r in iblt.compare_edits(edges).select("edited_sha256").collect()) == want
 
 
+def pieces(text):
+    """Lines cut after [.!?] and spaces, and after 24 words: written without the pattern of the operator."""
+    out = set()
+    for line in text.split("\n"):
+        held = []
+        for word in filter(None, line.split(" ")):
+            held.append(word)
+            if word[-1] in ".!?" or len(held) == 24:
+                out.add(" ".join(held))
+                held = []
+        out |= {" ".join(held)} - {""}
+    return out
+
+
+def test_half_a_text_is_seen(spark):
+    """Short texts of one line whose second half is replaced share their first sentences, with or without sentence ends."""
+    rows = [(i, " ".join(w + "." * (k % 9 == 8 and i % 2) for k, w in enumerate(passage(60 + i, 60 + i)))) for i in range(8)]
+    rows.append((8, "Short one. Is it? Yes! " + "x" * 30))
+    got = {r["doc_id"]: r for r in iblt.compare_edits(table(spark, [(d, t, "s") for d, t in rows])).collect()}
+    for i, (d, t) in enumerate(rows):
+        after = rows[(i + 1) % len(rows)][1]
+        a, b = pieces(t), pieces(t[:len(t) - len(t) // 2] + after[:len(t) // 2])
+        assert got[d]["near_edited"] == pytest.approx(len(a & b) / len(a | b)) and got[d]["near_edited"] > 0
+        assert got[d]["near_next"] == pytest.approx(len(a & pieces(after)) / len(a | pieces(after)))
+
+
 def test_ranges_do_not_matter(spark, monkeypatch):
     docs = table(spark, [(i * i, f"text {i}. of {i}", "s") for i in range(60)])
     want = sorted(map(tuple, iblt.with_successor(docs).collect()))

@@ -1,7 +1,7 @@
 """Operator 3 - document fingerprints as invertible Bloom lookup sketches (DataFrame operations only).
 
-A text's paragraphs (lines; long ones in pieces that end with a sentence) are
-hashed to 64-bit digests.
+A text's paragraphs (lines, cut at sentence ends; overlong sentences after 24
+words) are hashed to 64-bit digests.
 A sketch is three tables of ``width`` cells; each digest adds itself to one cell
 of each table: a count, the xor of digests, the xor of their checks.  Sketches
 of two versions subtract cell by cell, and what is left holds only the
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from tillroll.llm import common as C
 
-#: A paragraph: a line, or a piece of a long one from 400 characters on to the next sentence end.
-PARAGRAPH = r"[^\n]{1,400}[^\n.!?]*[.!?]*"
+#: A paragraph: words of one line up to a sentence end, at most 24 (a word of over 200 characters ends one).
+PARAGRAPH = r"[^ \n]{1,200}(?:(?<![.!?]) +[^ \n]{1,200}){0,23}"
 BASE_WIDTH, WIDTHS = 4, (8, 32, 128, 512)
 ROUNDS = 5
 #: Text bytes in each range of the successor search.
