@@ -219,3 +219,30 @@ def test_near_blocks():
         back = lines._turned_back(key, pair)
         found |= {frozenset((int(back[i]), int(back[j]))) for i, j in enumerate(best) if j >= 0}
     assert all(any((a ^ b).bit_count() <= 3 for a in map(int, sig) if a != b and frozenset((a, b)) in found) for b in map(int, sig))
+
+
+def test_line_dedup_without_filter(spark):
+    """Short lines with a changed word: every pair that is similar enough is linked, however far its SimHashes are."""
+    rng, letters = np.random.default_rng(8), str.maketrans("0123456789", "abcdefghij")
+    texts = []
+    for i in range(40):
+        words = [w.translate(letters) for w in passage(200 + i, int(rng.integers(8, 30)))]
+        texts.append(" ".join(words))
+        for _ in range(2):
+            other = list(words)
+            other[int(rng.integers(len(other)))] = "z" * int(rng.integers(1, 6))
+            texts.append(" ".join(other))
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    links = [(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts[:i])
+             if abs(len(x) - len(y)) <= 6 and x != y and brute.levenshtein(x, y) <= int(max(len(x), len(y)) * (1 - lines.SIMILARITY) + 1e-9)]
+    raw = np.frombuffer("\n".join(texts).encode(), np.uint8)
+    sig = [int(x) for x in lines.hashed_lines(raw, np.array([0, len(raw)]))[3]]
+    assert sum((sig[i] ^ sig[j]).bit_count() > lines.NEAR for i, j in links) > 60
+    up = list(range(len(texts)))
+    for _ in texts:
+        for i, j in links:
+            up[i] = up[j] = min(up[i], up[j])
+    first = {}
+    want = {i for i, x in enumerate(texts) if first.setdefault(x if up[i] == i else texts[up[i]], i) == i}
+    got = lines.line_dedup(table(spark, [(i, x, "s") for i, x in enumerate(texts)]))
+    assert {r["doc_id"] for r in got.where("n_removed = 0").collect()} == want
