@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from given_tables import SF_SMALL
 from tillroll.plans import cleaning, geo_time, sales, views
 from tillroll.registry import present
 from tillroll.sources import sinks

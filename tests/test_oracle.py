@@ -11,7 +11,7 @@ import os
 
 import pytest
 
-from conftest import SF_SMALL
+from given_tables import SF_SMALL
 from oracle_check import compare, duck
 
 import __spark_entry__ as E

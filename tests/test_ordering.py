@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from given_tables import SF_SMALL
 from tillroll.operators.ordering import N, RN, global_positions, ntile, rank_by, \
     value_histogram_positions
 from tillroll.plans.views import customer_metrics
