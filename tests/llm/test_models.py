@@ -6,7 +6,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
-from conftest import edge_rows, passage, table
+from corpus_rows import edge_rows, passage, table
 from pyspark.sql import functions as F
 
 import corpus_pipeline

@@ -5,7 +5,7 @@ from collections import Counter
 import brute
 import numpy as np
 import pytest
-from conftest import edge_rows
+from corpus_rows import edge_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
