@@ -93,14 +93,20 @@ def bucket_count(df: DataFrame, bytes_each: int = BUCKET_BYTES) -> int:
     return max(shuffle_partitions(df.sparkSession), -(-(scan_bytes(df) or 0) // bytes_each))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back (cuts lineage, survives executors)."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = path or shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that has had its last reader."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def broadcast_if_small(df: DataFrame, most: int = 16 << 20) -> DataFrame:
     """``df`` (a stored table) marked for broadcast if its files are small; else a shuffle join takes it."""
     size = scan_bytes(df)
