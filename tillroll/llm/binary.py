@@ -266,6 +266,17 @@ class Encoder:
         return source[C.ranges(a, b)], lengths
 
 
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder(data: bytes) -> Encoder:
+    """One for each Python worker: what it knows serves later tasks too."""
+    key = zlib.crc32(data)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(data)
+    return _ENCODERS[key]
+
+
 def _file_system(path: str):
     # Hadoop writes file:/x where Arrow reads file:///x
     return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/(?=[^/])", "file:///", path))
@@ -281,7 +292,7 @@ def _write(folder: str, vocabulary, end_id: int) -> Callable:
             if not batch.num_rows:
                 continue
             if writer is None:
-                shard, encoder = batch.column(0)[0].as_py(), Encoder(vocabulary.value)
+                shard, encoder = batch.column(0)[0].as_py(), _encoder(vocabulary.value)
                 fs, top = _file_system(folder)
                 fs.create_dir(top, recursive=True)
                 name = f"ids-{shard:06d}-{uuid.uuid4().hex}.bin"
