@@ -7,7 +7,6 @@ part of any compared output (natural keys are).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,13 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll import oracle, oracle_quality, oracle_validation
-from tillroll.plans import (cleaning, customers, geo_time, products_targets, quality, sales,
+from tillroll.plans import (audit, cleaning, customers, geo_time, products_targets, quality, sales,
                             validation, views)
 from tillroll.sources import sinks
+from tillroll.sources.publish import ModelStore
 from tillroll.sources.staging import (ORDERS_CSV_HEADER, RAW_ORDERS_COLUMNS, RAW_TARGET_COLUMNS,
-                                      TARGET_CSV_HEADER, Staging, read_text_csv, staging_from_star,
-                                      write_text_csv)
-from tillroll.sources.tables import build_star, geography_reference
+                                      TARGET_CSV_HEADER, Staging, read_csv_lines, read_text_csv, staging_from_star,
+                                      write_broken_csv, write_text_csv)
+from tillroll.sources.tables import geography_reference
 
 # Fixed values for the driver tables: the product categories (last word of the part
 # name) in label order, for the SQL's columns, and the category singled out by Q16 / Q38.
@@ -51,19 +51,21 @@ def present(df: DataFrame) -> DataFrame:
 _MODELS: dict[tuple[str, str], object] = {}
 
 
-def model(spark: SparkSession, sf_dir: str):
-    """The modelled layer for ``sf_dir``: built from the driver tables once per
-    application, written (bucketed) to the shared checkpoint folder, and read
-    back by every analysis job - the load-once / query-many shape of the
-    original pipeline."""
+def published(spark: SparkSession, sf_dir: str):
+    """(star, manifest) of the analysis model: loaded, audited and published once for the
+    state of the driver tables, and opened by every application after that - the
+    load-once / query-many shape of the original pipeline."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        tag = f"tillroll_{uuid.uuid4().hex[:12]}"
-        _MODELS[key] = sinks.materialize_star(build_star(spark, sf_dir),
-                                              sinks.shared_dir(spark, "model"), None, tag)
+        _MODELS[key] = sinks.published_model(spark, sf_dir, PERIOD_START, PERIOD_END)
     return _MODELS[key]
 
 
+def model(spark: SparkSession, sf_dir: str):
+    """The modelled layer for ``sf_dir``: what every analysis job reads."""
+    return published(spark, sf_dir)[0]
+
+
 def staging(spark: SparkSession, sf_dir: str) -> Staging:
     """The text staging tables for ``sf_dir``, rendered once per application
     (from the stored model, so the large driver tables are not joined a second
@@ -192,21 +194,41 @@ def _csv_roundtrip(table: str, header, names) -> Callable[[SparkSession, str], D
     return run
 
 
+def _malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S1 - lines of the order file with too few or too many fields, listed whole, and the number of good rows by state."""
+    path = sinks.shared_dir(spark, "broken_orders")
+    write_broken_csv(staging(spark, sf_dir).raw_orders, path)
+    rows, malformed = read_csv_lines(spark, path, ORDERS_CSV_HEADER, RAW_ORDERS_COLUMNS, header=False)
+    return malformed.select("line", F.lit(1).cast("long").alias("lines")).unionByName(
+        rows.groupBy(F.concat(F.lit("rows of "), "state").alias("line")).agg(F.count(F.lit(1)).alias("lines")))
+
+
 def _sink_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S5 - populate the model from staging; its rows, read back."""
-    return sinks.model_rows(written_model(spark, sf_dir))
+    return sinks.model_rows(loaded(spark, sf_dir).star)
 
 
 def _full_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """S6 - a load over an earlier one with other rows; the rows, read back."""
+    """S6 - a load over an earlier one with other rows; the rows of the published version, read back."""
     stg = staging(spark, sf_dir)
-    path = sinks.shared_dir(spark, "model")
+    store = ModelStore(spark, sinks.shared_dir(spark, "model"))
     odd = F.pmod(F.col("order_id").cast("long"), F.lit(2)) == 1
     earlier = Staging(stg.raw_orders.filter(odd).withColumn("city", F.lit("OLD")),
-                      stg.raw_order_details.filter(odd).withColumn("sub_category", F.lit("old")), stg.raw_sales_target)
-    sinks.write_model(cleaning.star_from_staging(earlier), path)
-    sinks.write_model(cleaning.star_from_staging(stg), path)
-    return sinks.model_rows(sinks.read_model(spark, path))
+                      stg.raw_order_details.filter(odd), stg.raw_sales_target)
+    sinks.load_staged(store, earlier, PERIOD_START, PERIOD_END)
+    sinks.load_staged(store, stg, PERIOD_START, PERIOD_END)
+    return sinks.model_rows(sinks.read_loaded(spark, store.current()).star)
+
+
+def _audit_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1-A9 on the published analysis model, judged again from storage."""
+    return audit.audit_model(audit.source_totals(spark, sf_dir), model(spark, sf_dir), PERIOD_START, PERIOD_END)
+
+
+def _model_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of the published analysis model with the row counts that its manifest records."""
+    tables = published(spark, sf_dir)[1].tables
+    return spark.createDataFrame([(name, t["rows"]) for name, t in tables.items()], "table_name string, row_count long")
 
 
 def _sink_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,19 +268,36 @@ def _drop(fn, *cols):
     return run
 
 
-def written_model(spark: SparkSession, sf_dir: str):
-    """The model loaded from staging, written once per application and read back: what A1-A9 judge."""
-    key = (spark.sparkContext.applicationId, "written:" + sf_dir)
+def loaded(spark: SparkSession, sf_dir: str) -> sinks.Loaded:
+    """The model loaded from staging and published, once per application: what A1-A9 judge one by one."""
+    key = (spark.sparkContext.applicationId, "loaded:" + sf_dir)
+    if key not in _MODELS:
+        store = ModelStore(spark, sinks.shared_dir(spark, "model"))
+        _MODELS[key] = sinks.read_loaded(spark, sinks.load_staged(store, staging(spark, sf_dir), PERIOD_START, PERIOD_END))
+    return _MODELS[key]
+
+
+def accepted(spark: SparkSession, sf_dir: str) -> Staging:
+    """The staged rows that the load takes."""
+    key = (spark.sparkContext.applicationId, "accepted:" + sf_dir)
     if key not in _MODELS:
-        path = sinks.shared_dir(spark, "model")
-        sinks.write_model(cleaning.star_from_staging(staging(spark, sf_dir)), path)
-        _MODELS[key] = sinks.read_model(spark, path)
+        _MODELS[key] = cleaning.accepted(cleaning.judged(staging(spark, sf_dir)))
     return _MODELS[key]
 
 
+def _load_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 - every staged row that the load rejects, in full, with its reasons."""
+    return loaded(spark, sf_dir).quarantine
+
+
+def _load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T4 - rejected rows by table and reason."""
+    return cleaning.reject_counts(loaded(spark, sf_dir).quarantine)
+
+
 def _assert_job(fn: Callable, *args) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return present(fn(staging(spark, sf_dir), *args, model=written_model(spark, sf_dir)))
+        return present(fn(accepted(spark, sf_dir), *args, model=loaded(spark, sf_dir).star))
     run.__doc__ = fn.__doc__
     return run
 
@@ -277,9 +316,14 @@ def staging_jobs() -> dict[str, Callable]:
         "stage_raw_order_details": _stg_job(lambda s: s.raw_order_details),
         "stage_raw_sales_target": _stg_job(lambda s: s.raw_sales_target),
         "src_orders_csv": _csv_roundtrip("raw_orders", ORDERS_CSV_HEADER, RAW_ORDERS_COLUMNS),
+        "src_malformed_lines": _malformed_lines,
         "src_target_csv": _csv_roundtrip("raw_sales_target", TARGET_CSV_HEADER, RAW_TARGET_COLUMNS),
         "sink_model": _sink_model,
         "full_reload": _full_reload,
+        "audit_model": _audit_model,
+        "model_tables": _model_tables,
+        "load_quarantine": _load_quarantine,
+        "load_rejects": _load_rejects,
         "sink_exceptions": _sink_exceptions,
         "named_views": _named_views,
         "dq_row_counts": _stg_job(q.dq_row_counts),

@@ -2,19 +2,26 @@
 
 Output goes under a *shared* directory: an explicit path, or a folder in the
 session's reliable checkpoint directory (``spark.checkpoint.dir``), never a
-machine-local temporary folder.  Writes are ``overwrite``: a reload empties
-the target first, so a rebuild is idempotent.  The order
+machine-local temporary folder.  A model is loaded into a store (``sources.publish``): each
+load is a version of its own, which readers see when its assertions have passed.  The order
 fact of S5 is partitioned by order month, so a reader prunes it by date.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.operators.ordering import pinned_until_written
+from tillroll.plans import cleaning
+from tillroll.plans.audit import audit_model, source_totals, staged_totals
 from tillroll.session import shared_path
-from tillroll.sources.tables import Star, line_measures, per_order_values, star_from_facts
+from tillroll.sources import files
+from tillroll.sources.publish import Manifest, ModelStore, home, write_audit_publish
+from tillroll.sources.staging import Staging
+from tillroll.sources.tables import Star, build_star, line_measures, per_order_values, star_from_facts
 
 MODEL_TABLES = ("dim_customer", "dim_sub_category", "fact_orders", "fact_order_lines",
                 "fact_sales_target")
@@ -44,6 +51,68 @@ def read_model(spark: SparkSession, path: str) -> Star:
                 rd("fact_sales_target"))
 
 
+@dataclass(frozen=True)
+class Loaded:
+    """A model loaded from text staging, with the rows that it could not take."""
+
+    star: Star
+    quarantine: DataFrame  # table_name, entity_key, reasons, row
+
+
+QUARANTINE = "load_quarantine"
+
+
+def load_staged(store: ModelStore, stg: Staging, start: str, end: str) -> Manifest:
+    """S5/S6 - load text staging as a new version of a store: write, audit, publish.
+
+    The rows of each table and those rejected are counted by the load's own writes (observed metrics);
+    only if there are any is the quarantine table filled by another pass.  Every staged row must be
+    found again, in the model or in the quarantine.
+    """
+    marked = cleaning.judged(stg)
+    seen = {name: Observation(name) for name in STAGED}
+
+    def watched(name: str, df: DataFrame) -> DataFrame:
+        return df.observe(seen[name], F.count(F.lit(1)).alias("rows"), F.count_if(F.size(cleaning.REASONS) > 0).alias("rejected"))
+
+    def write(folder: str, version: str) -> dict[str, dict]:
+        # the facts first: their writes carry the observations
+        loads, plain = cleaning.accepted(marked, watched), cleaning.accepted(marked)
+        star = Star(cleaning.build_dim_customer(plain), cleaning.build_dim_sub_category(plain), cleaning.build_fact_orders(loads),
+                    cleaning.build_fact_lines(loads), cleaning.build_fact_target(loads))
+        write_model(star, folder)
+        metrics = {name: seen[name].get for name in STAGED}
+        rejects = cleaning.quarantined(marked)
+        (rejects if any(m["rejected"] for m in metrics.values()) else rejects.limit(0)).write.parquet(f"{folder}/{QUARANTINE}")
+        return {name: {"observed": metrics[raw]} if raw else {} for name, raw in
+                (("dim_customer", None), ("dim_sub_category", None), *zip(FACTS, STAGED), (QUARANTINE, None))}
+
+    def audit(loaded: Loaded) -> DataFrame:
+        expected = staged_totals(cleaning.accepted(marked))
+        found = [getattr(loaded.star, f).agg(F.count(F.lit(1))).scalar()
+                 + loaded.quarantine.where(F.col("table_name") == raw).agg(F.count(F.lit(1))).scalar() for f, raw in zip(FACTS, STAGED)]
+        staged = [getattr(stg, raw).agg(F.count(F.lit(1))).scalar() for raw in STAGED]
+        text = lambda cs: F.concat_ws(" / ", *[c.cast("string") for c in cs])
+        rows = stg.raw_sales_target.agg(F.lit(EVERY_ROW).alias("assertion"), text(staged).alias("expected"), text(found).alias("found"))
+        rows = rows.select("assertion", F.when(F.col("expected") == F.col("found"), "PASS").otherwise("FAIL").alias("result"), "expected", "found")
+        return audit_model(expected, loaded.star, start, end).unionByName(rows)
+
+    def counts(loaded: Loaded) -> dict[str, int]:
+        return {r.table_name: r.row_count for r in model_row_counts(loaded.star).unionByName(
+            loaded.quarantine.agg(F.lit(QUARANTINE).alias("table_name"), F.count(F.lit(1)).alias("row_count"))).collect()}
+
+    return write_audit_publish(store, write, lambda m: read_loaded(store.spark, m), audit, counts)
+
+
+STAGED = ("raw_orders", "raw_order_details", "raw_sales_target")
+FACTS = ("fact_orders", "fact_order_lines", "fact_sales_target")
+EVERY_ROW = "every staged row is loaded or in quarantine"
+
+
+def read_loaded(spark: SparkSession, manifest: Manifest) -> Loaded:
+    return Loaded(read_model(spark, manifest.path), spark.read.parquet(manifest.tables[QUARANTINE]["path"]))
+
+
 def model_row_counts(star: Star) -> DataFrame:
     frames = [getattr(star, t).agg(F.lit(t).alias("table_name"),
                                    F.count(F.lit(1)).alias("row_count")) for t in MODEL_TABLES]
@@ -66,8 +135,7 @@ def model_rows(star: Star) -> DataFrame:
         "fact_order_lines": star.fact_order_lines.select("order_id", "sub_category", "amount", "profit", "quantity"),
         "fact_sales_target": star.fact_sales_target.select("target_month", "category", "target_amount"),
     }
-    frames = [df.select(F.lit(name).alias("table_name"), F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]).alias("row"))
-              for name, df in shown.items()]
+    frames = [df.select(F.lit(name).alias("table_name"), cleaning.row_text(df.columns).alias("row")) for name, df in shown.items()]
     out = frames[0]
     for f in frames[1:]:
         out = out.unionByName(f)
@@ -100,7 +168,7 @@ def bucket_count(scan: DataFrame, target_bytes: int = TARGET_BUCKET_BYTES) -> in
 
 
 class Kept:
-    """Results derived from a stored model, each written beside it once.
+    """Results derived from a stored model, each written beside it once, by whichever application needs it first.
 
     Orderings pinned while a result is built are removed when it is written.
     """
@@ -111,12 +179,16 @@ class Kept:
     def __call__(self, name: str, build) -> DataFrame:
         path = f"{self.path}/kept_{name}"
         if name not in self.names:
-            with pinned_until_written(self.spark):
-                build().write.mode("overwrite").parquet(path)
+            if not files.exists(self.spark, f"{path}/_SUCCESS"):
+                with pinned_until_written(self.spark):
+                    build().write.mode("overwrite").parquet(path)
             self.names.add(name)
         return self.spark.read.parquet(path)
 
 
+BUCKETED = ("fact_orders", "fact_order_lines", "order_values")
+
+
 def materialize_star(star: Star, path: str, buckets: int | None, tag: str) -> Star:
     """Write the model once and return the star read back from storage.
 
@@ -143,10 +215,6 @@ def materialize_star(star: Star, path: str, buckets: int | None, tag: str) -> St
          .format("parquet").saveAsTable(table))
         return spark.table(table)
 
-    def plain(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
-        return spark.read.parquet(f"{path}/{name}")
-
     wide = bucketed(star.orders_with_customer().select(
         "order_id", "customer_id", "order_date", "customer_name", "state", "city"), "fact_orders")
     if star.line_inputs is not None:
@@ -159,13 +227,62 @@ def materialize_star(star: Star, path: str, buckets: int | None, tag: str) -> St
         lines = bucketed(star.fact_order_lines, "fact_order_lines")
     # One row per order for the per-order jobs.  The files are read without their
     # buckets, so a hot order's lines are added up in many tasks before they meet.
-    values = bucketed(per_order_values(spark.read.parquet(f"{path}/fact_order_lines")), "order_values")
+    bucketed(per_order_values(spark.read.parquet(f"{path}/fact_order_lines")), "order_values")
     derived = star_from_facts(wide, lines)
-    return Star(plain(derived.dim_customer, "dim_customer"),
-                plain(derived.dim_sub_category, "dim_sub_category"),
-                derived.fact_orders, lines,
-                plain(derived.fact_sales_target, "fact_sales_target"),
-                wide, order_values=values, kept=Kept(spark, path))
+    for name in ("dim_customer", "dim_sub_category", "fact_sales_target"):
+        getattr(derived, name).write.mode("overwrite").parquet(f"{path}/{name}")
+    return open_star(spark, path, buckets, tag)
+
+
+def open_star(spark: SparkSession, path: str, buckets: int, tag: str) -> Star:
+    """The star of a stored model; its bucketed tables are registered in this application's catalog if they aren't yet."""
+    def bucketed(name: str) -> DataFrame:
+        table = f"{tag}_{name}"
+        if not spark.catalog.tableExists(table):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(f"{path}/{name}").schema)
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns}) USING parquet "
+                      f"CLUSTERED BY (order_id) INTO {buckets} BUCKETS LOCATION '{path}/{name}'")
+        return spark.table(table)
+
+    def plain(name: str) -> DataFrame:
+        return spark.read.parquet(f"{path}/{name}")
+
+    wide, lines, values = map(bucketed, BUCKETED)
+    return Star(plain("dim_customer"), plain("dim_sub_category"), wide.select("order_id", "customer_id", "order_date"), lines,
+                plain("fact_sales_target"), wide, order_values=values, kept=Kept(spark, path))
+
+
+#: The tables that the model is built from.
+SOURCE_TABLES = ("lineitem", "part", "orders", "customer", "nation")
+
+
+def published_model(spark: SparkSession, sf_dir: str, start: str, end: str, path: str | None = None) -> tuple[Star, Manifest]:
+    """The analysis model of the source tables: the published one if it is still theirs, else a new load.
+
+    ``start`` and ``end`` bound the order dates (A6).  A load that fails an assertion isn't published.
+    """
+    inputs = files.state_of(spark, [f"{sf_dir.rstrip('/')}/{t}.parquet" for t in SOURCE_TABLES])
+    inputs["period"] = f"{start} to {end}"
+    store = ModelStore(spark, path or home(spark, f"model of {sf_dir}"))
+
+    def opened(m: Manifest) -> Star:
+        return open_star(spark, m.path, m.tables["fact_orders"]["buckets"], f"tillroll_{m.version.replace('-', '_')}")
+
+    def write(folder: str, version: str) -> dict[str, dict]:
+        star = build_star(spark, sf_dir)
+        buckets = bucket_count(star.line_scan)
+        materialize_star(star, folder, buckets, f"tillroll_{version.replace('-', '_')}")
+        return {**{n: {"buckets": buckets} for n in BUCKETED}, "dim_customer": {}, "dim_sub_category": {}, "fact_sales_target": {}}
+
+    def counts(star: Star) -> dict[str, int]:
+        frames = model_row_counts(star).unionByName(
+            star.order_values.agg(F.lit("order_values").alias("table_name"), F.count(F.lit(1)).alias("row_count")))
+        return {r.table_name: r.row_count for r in frames.collect()}
+
+    manifest = store.current_for(inputs)
+    if manifest is None:
+        manifest = write_audit_publish(store, write, opened, lambda star: audit_model(source_totals(spark, sf_dir), star, start, end), counts, inputs)
+    return opened(manifest), manifest
 
 
 def write_log(df: DataFrame, path: str) -> DataFrame:
