@@ -1,7 +1,7 @@
 """Customer base, RFM and order sequences (Q17-Q28), on the views.
 
-Customer-grain orderings (Q19 running share, Q20 ranks, Q26 sequences) use
-the distributed global-position operator; Q23 needs only the value
+Q19 selects its two places without a sort; Q26 (sequences) uses the
+distributed global-position operator; Q23 needs only the value
 histogram; Q28 is a per-state top-k (Spark plans a partial WindowGroupLimit
 before the shuffle, so a populous state costs k rows per task).  Shares of a
 total use window totals over the (small) grouped result, or a scalar
@@ -10,12 +10,15 @@ subquery when the total is over customers.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillroll.functions.measures import avg2, margin_pct, ratio_pct
 from tillroll.operators.ordering import (N, RN, global_positions, group_extent, ntile,
                                         value_histogram_positions)
+from tillroll.operators.selection import locate
 from tillroll.plans.views import (CUSTOMER_TIEBREAK, customer_metrics, customer_rfm,
                                   order_summary)
 from tillroll.sources.tables import Star
@@ -61,23 +64,28 @@ def revenue_concentration(star: Star, thresholds=(50, 80)) -> DataFrame:
 
 
 def _concentration(star: Star, thresholds) -> DataFrame:
-    cm = customer_metrics(star).select("total_revenue", *CUSTOMER_TIEBREAK)
-    pos = global_positions(cm, [F.desc("total_revenue"), *CUSTOMER_TIEBREAK],
-                           running={"running_revenue": "total_revenue"})
-    pos = pos.withColumn("cumulative_pct", ratio_pct("running_revenue", "running_revenue_total"))
+    """The places where the running revenue reaches the shares, selected without a sort.
+
+    A share rounds to t or more, half away from zero, from t - 0.005 on.  Only customers with
+    revenue can bring it there.
+    """
+    cm = customer_metrics(star).select((-F.col("total_revenue")).alias("_least"), "total_revenue", *CUSTOMER_TIEBREAK)
+    base = cm.agg(F.count(F.lit(1)).alias("n"), F.sum("total_revenue").alias("total")).first()
+    total = base.total or 0
+
+    def reached(t):
+        return lambda rows, running: 100 * running >= (t - Decimal("0.005")) * total
+
+    found = locate(cm.where("total_revenue > 0"), ["_least", *CUSTOMER_TIEBREAK], lambda n, s: [reached(t) for t in thresholds],
+                   weight="total_revenue") if total > 0 else [None] * len(thresholds)
     first, second = thresholds
-    out = pos.agg(
-        F.min(F.when(F.col("cumulative_pct") >= first, F.col(RN))).alias(f"customers_for_{first}pct_revenue"),
-        F.min(F.when(F.col("cumulative_pct") >= second, F.col(RN))).alias(f"customers_for_{second}pct_revenue"),
-        F.max(RN).alias("total_customers"))
+    places = [p and p.position for p in found]
+    out = star.fact_orders.sparkSession.createDataFrame([(*places, base.n or None)], (
+        f"customers_for_{first}pct_revenue long, customers_for_{second}pct_revenue long, total_customers long"))
     return out.withColumn("pct_of_base_for_half_revenue",
                           ratio_pct(f"customers_for_{first}pct_revenue", "total_customers", 1))
 
 
-def _with_customer_margin(df: DataFrame) -> DataFrame:
-    return df.withColumn("margin_pct", margin_pct("total_profit", "total_revenue"))
-
-
 def top_customers(star: Star, k: int = 15) -> DataFrame:
     """Q20 - top ``k`` by revenue with revenue rank and (global) profit rank."""
     cm = customer_metrics(star).select("customer_name", "city", "state", "order_count",

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.dates import month_label, month_start
 from tillroll.functions.measures import avg2, margin_pct, per, ratio_pct
-from tillroll.operators.ordering import N, RN, global_positions, ntile
+from tillroll.operators.selection import ntile_column
 from tillroll.sources.tables import IDENTITY, Star, per_order_values
 
 CUSTOMER_TIEBREAK = IDENTITY
@@ -165,8 +165,9 @@ def customer_rfm(star: Star, snapshot: str | None = None, buckets: int = 5,
 
     r = buckets+1 - NTILE over days since last order (ascending),
     m = NTILE over total revenue (ascending); ties broken by the natural
-    customer key.  Both NTILEs are computed with distributed global
-    positions (no single-partition window).  A stored model keeps the result.
+    customer key.  The rows at which buckets end are selected exactly without
+    a sort (``operators.selection``); the scores are comparisons with them.
+    A stored model keeps the result.
     """
     if snapshot is None and buckets == 5 and cuts == FREQUENCY_CUTS:
         return star.once("customer_rfm", lambda: _customer_rfm(star, None, buckets, cuts))
@@ -178,11 +179,8 @@ def _customer_rfm(star: Star, snapshot: str | None, buckets: int, cuts) -> DataF
         "customer_id", "customer_name", "state", "city", "days_since_last_order",
         "order_count", "total_revenue", "total_profit", "first_order_date", "last_order_date")
     tb = list(CUSTOMER_TIEBREAK)
-    by_recency = global_positions(cm, ["days_since_last_order", *tb])
-    by_recency = by_recency.withColumn(
-        "r_score", (F.lit(buckets + 1) - ntile(RN, N, buckets)).cast("int")).drop(RN, N)
-    by_money = global_positions(by_recency, ["total_revenue", *tb])
-    scored = by_money.withColumn("m_score", ntile(RN, N, buckets).cast("int")).drop(RN, N)
+    recency, money = (ntile_column(cm, [c, *tb], buckets) for c in ("days_since_last_order", "total_revenue"))
+    scored = cm.withColumns({"r_score": F.lit(buckets + 1) - recency, "m_score": money})
     scored = scored.withColumn("f_score", frequency_score(F.col("order_count"), cuts).cast("int"))
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     return scored.select(
