@@ -116,6 +116,15 @@ def test_targets_left_join(star):
     assert v12.result == "FAIL"
 
 
+def test_targets_and_sales_in_both_directions(star):
+    got = {(r.target_month, r.category): (r.coverage, r.target_amount, r.actual_revenue) for r in products_targets.target_coverage(star).collect()}
+    assert got[D(2018, 4, 1), "Furniture"] == ("both", Decimal("90.00"), Decimal("100.0000"))
+    assert got[D(2018, 7, 1), "Clothing"] == ("target without sales", Decimal("10.00"), None)
+    rest = {k for k, v in got.items() if v[0] == "sales without target"}
+    assert rest == {(D(2018, 4, 1), "Clothing"), (D(2018, 4, 1), "Electronics"), (D(2018, 5, 1), "Clothing"), (D(2018, 5, 1), "Electronics"),
+                    (D(2018, 6, 1), "Furniture")} and len(got) == 7
+
+
 def test_category_mix_labels(star):
     mix = {r.category_mix: r.categories_in_order
            for r in sales.category_mix(star, ["Electronics", "Clothing", "Furniture"], 1).collect()}

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.dates import parse_day_first, parse_month_label
 from tillroll.operators.joins import broadcast_checked
 from tillroll.sources.staging import Staging
-from tillroll.sources.tables import MONEY, TARGET_MONEY, Star, customer_key
+from tillroll.sources.tables import IDENTITY, MONEY, TARGET_MONEY, Star, customer_key
 
 
 def build_dim_sub_category(stg: Staging) -> DataFrame:
@@ -29,22 +29,47 @@ def build_dim_sub_category(stg: Staging) -> DataFrame:
                     F.trim("category").alias("category")).distinct()
 
 
-def build_dim_customer(stg: Staging) -> DataFrame:
-    """T2 - distinct trimmed (name, state, city) with a content key."""
-    o = stg.raw_orders
-    d = o.select(F.trim("customer_name").alias("customer_name"), F.trim("state").alias("state"),
-                 F.trim("city").alias("city")).distinct()
-    return d.select(customer_key("customer_name", "state", "city").alias("customer_id"),
-                    "customer_name", "state", "city")
+#: Text comparison of the original database: case and accents do not count.
+ANY_CASE = "UNICODE_CI_AI"
+
+
+def collated(c: str | Column, collation: str | None) -> Column:
+    """Trimmed text, compared byte by byte or by a collation."""
+    text = F.trim(c)
+    return text if collation is None else F.collate(text, collation)
+
+
+def build_dim_customer(stg: Staging, collation: str | None = None) -> DataFrame:
+    """T2 - distinct trimmed (name, state, city) with a content key.
+
+    Under a collation, identities that it holds equal are one customer, stored in the first of their
+    spellings (byte order).
+    """
+    o = stg.raw_orders.select(*[F.trim(c).alias(c) for c in IDENTITY])
+    if collation is None:
+        d = o.distinct()
+    else:
+        d = o.distinct().groupBy(*[F.collate(c, collation).alias(f"_{c}") for c in IDENTITY]).agg(
+            F.min(F.struct(*IDENTITY)).alias("who")).select("who.*")
+    return d.select(customer_key(*IDENTITY).alias("customer_id"), *IDENTITY)
 
 
-def build_fact_orders(stg: Staging) -> DataFrame:
+def build_fact_orders(stg: Staging, collation: str | None = None) -> DataFrame:
     """T3 - order headers: trimmed id, customer key, parsed date.
 
     The customer key is computed from the same trimmed triple the dimension
     is keyed on, so no join to the dimension is needed and none can fan out.
+    Under a collation it is the key of the spelling that the dimension has stored: identities
+    are few, so spellings meet their dimension row first, once each.
     """
     o = stg.raw_orders
+    if collation is not None:
+        dim = build_dim_customer(stg, collation).alias("d")
+        spelt = o.select(*[F.trim(c).alias(c) for c in IDENTITY]).distinct().alias("s")
+        same = [F.collate(F.col(f"s.{c}"), collation).eqNullSafe(F.collate(F.col(f"d.{c}"), collation)) for c in IDENTITY]
+        keys = spelt.join(dim, same).select(*[F.col(f"s.{c}").alias(f"_{c}") for c in IDENTITY], "customer_id")
+        return o.join(keys, [F.trim(o[c]).eqNullSafe(keys[f"_{c}"]) for c in IDENTITY]).select(
+            F.trim("order_id").alias("order_id"), "customer_id", parse_day_first("order_date").alias("order_date"))
     return o.select(
         F.trim("order_id").alias("order_id"),
         customer_key(F.trim("customer_name"), F.trim("state"), F.trim("city")).alias("customer_id"),

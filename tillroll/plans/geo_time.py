@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tillroll.functions.dates import (day_name, fiscal_quarter_label, month_label,
                                       month_start)
 from tillroll.functions.measures import margin_pct, per, ratio_pct
-from tillroll.plans.views import order_values
+from tillroll.plans.views import order_summary, order_values
 from tillroll.sources.tables import IDENTITY, Star
 
 def _whole():
@@ -100,13 +100,15 @@ def loss_states(star: Star, of_mean: float = 0.0) -> DataFrame:
             .orderBy("profit", "state"))
 
 
-def _dated_order_values(star: Star) -> DataFrame:
-    return _order_values(star).join(star.fact_orders, "order_id")
+def _dated_order_values(star: Star, start: str | None = None, end: str | None = None) -> DataFrame:
+    return order_summary(star, start=start, end=end).select(
+        "order_id", "order_date", "month_start", F.col("order_revenue").alias("revenue"), F.col("order_profit").alias("profit"),
+        F.col("order_quantity").alias("units"))
 
 
-def monthly_growth(star: Star) -> DataFrame:
-    """Q13 - month metrics, month-over-month growth and cumulative totals."""
-    m = _dated_order_values(star).groupBy(month_start("order_date").alias("month_start")).agg(
+def monthly_growth(star: Star, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Q13 - month metrics, month-over-month growth and cumulative totals, of all orders or of a period."""
+    m = _dated_order_values(star, start, end).groupBy("month_start").agg(
         F.sum("revenue").alias("revenue"), F.sum("profit").alias("profit"),
         F.sum("units").alias("units"), F.count(F.lit(1)).alias("orders"))
     by_month = Window.orderBy("month_start")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tillroll.functions.dates import fiscal_half, fiscal_year
 from tillroll.functions.measures import ratio_pct
-from tillroll.plans.views import sales_vs_target, sub_category_performance
+from tillroll.plans.views import actual_by_month_category, sales_vs_target, sub_category_performance
 from tillroll.sources.tables import Star
 
 
@@ -118,3 +118,20 @@ def target_hit_vs_profit(star: Star) -> DataFrame:
         F.round(F.avg("achievement_pct"), 2).alias("avg_achievement_pct"))
     return g.select("target_status", "month_category_cells", "revenue", "profit",
                     ratio_pct("profit", "revenue").alias("margin_pct"), "avg_achievement_pct")
+
+
+def target_coverage(star: Star) -> DataFrame:
+    """Targets against sales in both directions: every (month, category) of either side.
+
+    W7 keeps the targets' side alone; months and categories sold without a target drop out there.
+    Both sides are grids of months and categories, so their join is small.
+    """
+    sold = actual_by_month_category(star).select(F.col("month_start").alias("target_month"), "category", "actual_revenue")
+    planned = star.fact_sales_target.select("target_month", "category", "target_amount")
+    a, b = planned.alias("a"), sold.alias("b")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("target_month", "category")]
+    # a side is missing where its figure is: neither is null by itself in the model
+    cells = a.join(b, same[0] & same[1], "full").select(
+        *[F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}")).alias(c) for c in ("target_month", "category")], "target_amount", "actual_revenue")
+    has = [F.col(c).isNotNull() for c in ("target_amount", "actual_revenue")]
+    return cells.withColumn("coverage", F.when(has[0] & has[1], "both").when(has[0], "target without sales").otherwise("sales without target"))

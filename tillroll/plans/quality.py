@@ -3,9 +3,8 @@ assertions (A1-A9).
 
 Detection jobs profile the text staging layer: each is one pass of
 aggregates (``count_if`` per condition), with two-level aggregation instead
-of COUNT(DISTINCT) where a group key and a distinct key combine.  The
-string-list outputs (variants, states) list the first hundred *distinct*
-values of one key that has several; the count beside them is of all.
+of COUNT(DISTINCT) where a group key and a distinct key combine.  Lists of
+values of one key (variants, states) are rows, not one text.
 
 Text to number / date conversions are ``try_*``: a value that does not parse
 is counted (or NULL), never an aborted job.
@@ -19,9 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.operators.joins import broadcast_checked
-from tillroll.plans.cleaning import (build_dim_customer, build_dim_sub_category,
-                                     build_fact_lines, build_fact_orders, build_fact_target,
-                                     star_from_staging)
+from tillroll.plans.cleaning import (build_dim_customer, build_fact_lines, build_fact_orders,
+                                     build_fact_target, collated, star_from_staging)
 from tillroll.sources.staging import (RAW_DETAILS_COLUMNS, RAW_ORDERS_COLUMNS, Staging)
 from tillroll.sources.tables import MONEY, Star
 from tillroll.functions.dates import parse_day_first
@@ -110,17 +108,28 @@ def dq_whitespace(stg: Staging) -> DataFrame:
         scan(stg.raw_order_details, ["category", "sub_category"]))
 
 
-def _variants(pairs: DataFrame, key: str, value: str, count: str, listed: str) -> DataFrame:
-    """Keys of distinct (key, value) pairs that have several values, with all of them."""
-    return (pairs.groupBy(key).agg(F.count(F.lit(1)).alias(count), F.array_join(F.array_sort(F.collect_list(value)), ",").alias(listed))
-            .filter(F.col(count) > 1))
+def _variants(pairs: DataFrame, key: str, count: str) -> DataFrame:
+    """Of distinct (key, value) pairs those whose key has several values: a row a value, with their number.
 
+    A key of any number of values is never gathered into one row; only its number meets its values.
+    """
+    counts = pairs.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias(count)).filter(F.col(count) > 1)
+    return pairs.join(counts, pairs[key].eqNullSafe(counts["_key"])).drop("_key")
 
-def dq_case_variants(stg: Staging, column: str = "state") -> DataFrame:
-    """C8 - values equal after trim+lower but stored in several spellings."""
-    variants = stg.raw_orders.select(F.lower(F.trim(column)).alias("normalised"),
-                                     F.trim(column).alias("v")).distinct()
-    return _variants(variants, "normalised", "v", "variant_count", "variants")
+
+def dq_case_variants(stg: Staging, column: str = "state", collation: str | None = None) -> DataFrame:
+    """C8 - values that count as equal but are stored in several spellings: a row a spelling.
+
+    Equal after trim and lower, or as a collation has it (accents as well as case).
+    """
+    if collation is None:
+        return _variants(stg.raw_orders.select(F.lower(F.trim(column)).alias("normalised"), F.trim(column).alias("variant")).distinct(),
+                         "normalised", "variant_count")
+    spelt = stg.raw_orders.select(F.trim(column).alias("variant")).distinct()
+    # the first spelling in byte order stands for all
+    groups = spelt.groupBy(F.collate("variant", collation).alias("_key")).agg(
+        F.min("variant").alias("normalised"), F.count("variant").alias("variant_count")).filter("variant_count > 1")
+    return spelt.join(groups, F.collate(spelt.variant, collation) == F.col("_key")).select("normalised", "variant_count", "variant")
 
 
 def dq_date_format_proof(stg: Staging) -> DataFrame:
@@ -161,10 +170,9 @@ def dq_loss_exceeds_revenue(stg: Staging, money: str = MONEY) -> DataFrame:
 
 
 def dq_city_multi_state(stg: Staging) -> DataFrame:
-    """C12 - cities recorded under more than one state."""
-    pairs = stg.raw_orders.select(F.trim("city").alias("city"),
-                                  F.trim("state").alias("state")).distinct()
-    return _variants(pairs, "city", "state", "state_count", "states")
+    """C12 - cities recorded under more than one state: a row a state."""
+    pairs = stg.raw_orders.select(F.trim("city").alias("city"), F.trim("state").alias("state")).distinct()
+    return _variants(pairs, "city", "state_count")
 
 
 def dq_identity_ambiguity(stg: Staging) -> DataFrame:
@@ -361,11 +369,10 @@ def assert_target_categories(stg: Staging, model: Star | None = None) -> DataFra
                     stg.raw_sales_target)
 
 
-def assert_identity_unique(stg: Staging, model: Star | None = None) -> DataFrame:
-    """A8 - one dimension row (and one key) per distinct raw identity."""
-    dim = (model or star_from_staging(stg)).dim_customer
-    triples = _n(stg.raw_orders.select(F.trim("customer_name"), F.trim("state"),
-                                       F.trim("city")).distinct())
+def assert_identity_unique(stg: Staging, model: Star | None = None, collation: str | None = None) -> DataFrame:
+    """A8 - one dimension row (and one key) per distinct raw identity, told apart by bytes or by a collation."""
+    dim = model.dim_customer if model else build_dim_customer(stg, collation)
+    triples = _n(stg.raw_orders.select(*[collated(c, collation) for c in ("customer_name", "state", "city")]).distinct())
     keys = _n(dim.select("customer_id").distinct())
     return _verdict("customer identity is unique per location",
                     (_n(dim) == triples) & (keys == triples), stg.raw_sales_target)

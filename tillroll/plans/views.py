@@ -34,19 +34,25 @@ def order_values(star: Star) -> DataFrame:
     return per_order_values(star.fact_order_lines) if star.order_values is None else star.order_values
 
 
-def order_summary(star: Star, with_customer: bool = False) -> DataFrame:
-    """W1 - one row per order that has lines (inner join).
+def order_summary(star: Star, with_customer: bool = False, start: str | None = None, end: str | None = None) -> DataFrame:
+    """W1 - one row per order that has lines (inner join), optionally of a period (both days included).
 
     ``with_customer`` adds the customer's name, state and city from the (wide)
-    order table, for jobs that group by them.
+    order table, for jobs that group by them.  A stored model has the rows by month, so a period
+    - given here or by a join on ``month_start`` - reads its months only.
     """
-    orders = star.orders_with_customer() if with_customer else star.fact_orders
     extra = ["customer_name", "state", "city"] if with_customer else []
-    return orders.join(order_values(star), "order_id").select(
-        "order_id", "customer_id", *extra, "order_date",
-        month_start("order_date").alias("month_start"),
-        "line_count", "order_revenue", "order_profit", "order_quantity",
-    )
+    if star.dated_orders is not None:
+        rows = star.dated_orders
+    else:
+        orders = star.orders_with_customer() if with_customer else star.fact_orders
+        rows = orders.join(order_values(star), "order_id").withColumn("month_start", month_start("order_date"))
+    for bound, keep in ((start, Column.__ge__), (end, Column.__le__)):
+        if bound is not None:
+            day = F.lit(bound).cast("date")
+            rows = rows.where(keep(F.col("month_start"), F.trunc(day, "MM")) & keep(F.col("order_date"), day))
+    return rows.select("order_id", "customer_id", *extra, "order_date", "month_start",
+                       "line_count", "order_revenue", "order_profit", "order_quantity")
 
 
 def customer_metrics(star: Star, snapshot: str | None = None) -> DataFrame:

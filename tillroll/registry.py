@@ -34,6 +34,8 @@ LOSS_BOUND = 1.0
 # Fiscal years (April-March) spanning the driver tables' order dates: the
 # window the load assertion A6 checks every parsed date against.
 PERIOD_START, PERIOD_END = "1994-04-01", "2002-03-31"
+# Q13 for one period: two months and a part of a third.
+PERIOD_OF_GROWTH = ("1997-04-01", "1997-06-20")
 
 
 def present(df: DataFrame) -> DataFrame:
@@ -140,6 +142,7 @@ def question_jobs() -> dict[str, Callable]:
         "city_performance": _star_job(lambda s: geo_time.city_performance(s, MIN_CITY_ORDERS)),
         "loss_states": _star_job(lambda s: geo_time.loss_states(s, LOSS_BOUND)),
         "monthly_growth": _star_job(geo_time.monthly_growth),
+        "monthly_growth_period": _star_job(lambda s: geo_time.monthly_growth(s, *PERIOD_OF_GROWTH)),
         "fiscal_quarter": _star_job(geo_time.fiscal_quarter),
         "day_of_week": _star_job(geo_time.day_of_week),
         "category_month_pivot": _star_job(lambda s: geo_time.category_month_pivot(s, categories(s), focus)),
@@ -161,6 +164,7 @@ def question_jobs() -> dict[str, Callable]:
         "target_by_month": _star_job(products_targets.target_by_month),
         "target_grid": _star_job(products_targets.target_grid),
         "target_half_trend": _star_job(products_targets.target_half_trend),
+        "target_coverage": _star_job(products_targets.target_coverage),
         "target_hit_vs_profit": _star_job(products_targets.target_hit_vs_profit),
         "order_size_buckets": _star_job(sales.order_size_buckets),
         "category_mix": _star_job(lambda s: sales.category_mix(s, categories(s), MIN_MIX_ORDERS)),
@@ -238,6 +242,17 @@ def _sink_exceptions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.write_log(log, sinks.shared_dir(spark, "dq_exceptions"))
 
 
+def _log_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S7 - a log of two runs of which the first is repeated with other rows: rows by run and check."""
+    rules = quality.city_state_rules(geography_reference(spark, sf_dir))
+    log = quality.exception_log(staging(spark, sf_dir), rules)
+    path = sinks.shared_dir(spark, "dq_exceptions")
+    sinks.write_log(log.where("severity = 'INFO'"), path, "2018-04-01")
+    sinks.write_log(log.where("severity <> 'WARN'"), path, "2018-04-02")
+    sinks.write_log(log, path, "2018-04-01")
+    return sinks.read_log(spark, path, log.schema).groupBy("run_id", "check_name", "severity").agg(F.count(F.lit(1)).alias("rows_logged"))
+
+
 def _breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = quality.city_state_rules(geography_reference(spark, sf_dir))
     return quality.exc_breakdown(quality.exception_log(staging(spark, sf_dir), rules))
@@ -302,10 +317,10 @@ def _assert_job(fn: Callable, *args) -> Callable[[SparkSession, str], DataFrame]
     return run
 
 
-def _orders_with_identity(stg):
+def _orders_with_identity(stg, collation=None):
     """T3 with the customer it is linked to: the key joined back to the dimension."""
-    people = cleaning.build_dim_customer(stg)
-    return cleaning.build_fact_orders(stg).join(people, "customer_id", "left").select(
+    people = cleaning.build_dim_customer(stg, collation)
+    return cleaning.build_fact_orders(stg, collation).join(people, "customer_id", "left").select(
         "order_id", "order_date", "customer_name", "state", "city")
 
 
@@ -334,6 +349,11 @@ def staging_jobs() -> dict[str, Callable]:
         "dq_referential": _stg_job(q.dq_referential),
         "dq_whitespace": _stg_job(q.dq_whitespace),
         "dq_case_variants": _stg_job(q.dq_case_variants),
+        "dq_case_variants_any_case": _stg_job(lambda s: q.dq_case_variants(s, "state", c.ANY_CASE)),
+        "build_dim_customer_any_case": _stg_job(_drop(lambda s: c.build_dim_customer(s, c.ANY_CASE), "customer_id")),
+        "build_fact_orders_any_case": _stg_job(lambda s: _orders_with_identity(s, c.ANY_CASE)),
+        "assert_identity_unique_any_case": _stg_job(lambda s: q.assert_identity_unique(s, collation=c.ANY_CASE)),
+        "sink_exceptions_by_run": _log_runs,
         "dq_date_format_proof": _stg_job(q.dq_date_format_proof),
         "dq_numeric_validity": _stg_job(q.dq_numeric_validity),
         "dq_loss_exceeds_revenue": _stg_job(q.dq_loss_exceeds_revenue),
@@ -427,7 +447,7 @@ def all_oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
     sql.update(oracle.views_sql())
     sql.update(oracle.questions_sql(list(CATEGORIES), FOCUS_CATEGORY, MIN_CITY_ORDERS,
-                                    MIN_MIX_ORDERS, LOSS_BOUND))
+                                    MIN_MIX_ORDERS, LOSS_BOUND, PERIOD_OF_GROWTH))
     sql.update(oracle_quality.staging_sql(PERIOD_START, PERIOD_END))
     sql.update(oracle_validation.validation_sql())
     return sql

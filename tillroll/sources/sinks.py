@@ -13,7 +13,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tillroll.functions.dates import month_start
 from tillroll.operators.ordering import pinned_until_written
 from tillroll.plans import cleaning
 from tillroll.plans.audit import audit_model, source_totals, staged_totals
@@ -187,6 +189,7 @@ class Kept:
 
 
 BUCKETED = ("fact_orders", "fact_order_lines", "order_values")
+DATED, MONTH = "dated_orders", "month_start"
 
 
 def materialize_star(star: Star, path: str, buckets: int | None, tag: str) -> Star:
@@ -227,7 +230,11 @@ def materialize_star(star: Star, path: str, buckets: int | None, tag: str) -> St
         lines = bucketed(star.fact_order_lines, "fact_order_lines")
     # One row per order for the per-order jobs.  The files are read without their
     # buckets, so a hot order's lines are added up in many tasks before they meet.
-    bucketed(per_order_values(spark.read.parquet(f"{path}/fact_order_lines")), "order_values")
+    values = bucketed(per_order_values(spark.read.parquet(f"{path}/fact_order_lines")), "order_values")
+    # The orders with their values once more, a folder for each month: jobs on a period read its
+    # months only.  A month of many orders is several files, a small one a single file.
+    (wide.join(values, "order_id").withColumn(MONTH, month_start("order_date")).hint("rebalance", F.col(MONTH))
+     .write.mode("overwrite").partitionBy(MONTH).parquet(f"{path}/{DATED}"))
     derived = star_from_facts(wide, lines)
     for name in ("dim_customer", "dim_sub_category", "fact_sales_target"):
         getattr(derived, name).write.mode("overwrite").parquet(f"{path}/{name}")
@@ -248,8 +255,11 @@ def open_star(spark: SparkSession, path: str, buckets: int, tag: str) -> Star:
         return spark.read.parquet(f"{path}/{name}")
 
     wide, lines, values = map(bucketed, BUCKETED)
+    # the months are dates, whatever a reader would take the folders' names for
+    dated = spark.read.schema(T.StructType([*wide.schema.fields, *values.drop("order_id").schema.fields,
+                                            T.StructField(MONTH, T.DateType())])).parquet(f"{path}/{DATED}")
     return Star(plain("dim_customer"), plain("dim_sub_category"), wide.select("order_id", "customer_id", "order_date"), lines,
-                plain("fact_sales_target"), wide, order_values=values, kept=Kept(spark, path))
+                plain("fact_sales_target"), wide, order_values=values, dated_orders=dated, kept=Kept(spark, path))
 
 
 #: The tables that the model is built from.
@@ -272,11 +282,13 @@ def published_model(spark: SparkSession, sf_dir: str, start: str, end: str, path
         star = build_star(spark, sf_dir)
         buckets = bucket_count(star.line_scan)
         materialize_star(star, folder, buckets, f"tillroll_{version.replace('-', '_')}")
-        return {**{n: {"buckets": buckets} for n in BUCKETED}, "dim_customer": {}, "dim_sub_category": {}, "fact_sales_target": {}}
+        return {**{n: {"buckets": buckets} for n in BUCKETED}, DATED: {"partitioned by": MONTH}, "dim_customer": {}, "dim_sub_category": {},
+                "fact_sales_target": {}}
 
     def counts(star: Star) -> dict[str, int]:
-        frames = model_row_counts(star).unionByName(
-            star.order_values.agg(F.lit("order_values").alias("table_name"), F.count(F.lit(1)).alias("row_count")))
+        frames = model_row_counts(star)
+        for name, df in (("order_values", star.order_values), (DATED, star.dated_orders)):
+            frames = frames.unionByName(df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count")))
         return {r.table_name: r.row_count for r in frames.collect()}
 
     manifest = store.current_for(inputs)
@@ -285,7 +297,23 @@ def published_model(spark: SparkSession, sf_dir: str, start: str, end: str, path
     return opened(manifest), manifest
 
 
-def write_log(df: DataFrame, path: str) -> DataFrame:
-    """S7/S8 - one write of an appended log; returns the table read back."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+RUN = "run_id"
+
+
+def write_log(df: DataFrame, path: str, run_id: str = "run") -> DataFrame:
+    """S7/S8 - append a run's rows to a log; a run that is repeated replaces its own rows and no others.
+
+    Each run is a partition of the log, exchanged as a whole when its write is committed (dynamic partition
+    overwrite); a run without rows leaves none.  Returns the run's rows as they read back.
+    """
+    spark, seen = df.sparkSession, Observation("log")
+    (df.observe(seen, F.count(F.lit(1)).alias("rows")).withColumn(RUN, F.lit(run_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(RUN).parquet(path))
+    if seen.get["rows"] == 0:  # nothing was written, so nothing was exchanged either
+        files.delete(spark, f"{path}/{RUN}={run_id}")
+    return read_log(spark, path, df.schema).where(F.col(RUN) == run_id).drop(RUN)
+
+
+def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All runs of a log."""
+    return spark.read.schema(T.StructType(list(schema.fields)).add(RUN, T.StringType())).parquet(path)

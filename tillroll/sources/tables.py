@@ -84,6 +84,7 @@ class Star:
     line_inputs: DataFrame | None = None  # raw inputs of fact_order_lines (line_measures)
     line_scan: DataFrame | None = None    # the scan behind line_inputs: its size sizes the model
     order_values: DataFrame | None = None  # stored line measures per order
+    dated_orders: DataFrame | None = None  # both, stored by month_start
     kept: Callable | None = None          # (name, build) -> result, written once per model
 
     def once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
