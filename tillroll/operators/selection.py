@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Boundaries drawn in a gap each round; rows of a gap that are read as they are.
-DRAWN, FEW = 512, 4096
+DRAWN, FEW = 512, 1 << 14
 _SCALE = 1 << 53
 
 Condition = Callable[[int, Decimal], bool]
