@@ -181,3 +181,15 @@ def test_blocks_of_equal_rows(spark):
             want[i, len(words), sum(count[w] > 0 for w in words), n, round(sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words), 6)] += 1
         assert Counter((r["_d"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in out) == want
         assert len({(r["_d"], round(r["score"], 6)) for r in out}) == len(texts)
+
+
+def test_mixing_ties_do_not_depend_on_partitions(spark):
+    """Texts of one size under null or equal ids: the same texts are taken, however the rows are dealt."""
+    rows = [(None if i % 2 else 5, " ".join(passage(i, 12)), "s%d" % (i % 3 // 2)) for i in range(300)]
+    docs = table(spark, rows)
+
+    def copies(df):
+        return Counter({r.text: r.n for r in mix.mix(df).select("text", F.col("_mix.copies").alias("n")).collect()})
+
+    one = copies(docs.coalesce(1))
+    assert one == copies(docs.repartition(7)) == copies(docs.orderBy("text").repartition(3, "text")) and len(set(one.values())) > 1

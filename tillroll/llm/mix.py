@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tillroll.llm import common as C
@@ -86,16 +86,22 @@ def tilt(hist: DataFrame, sources: DataFrame, most: float, tolerance: float = 1e
     return state.select("_sid", "lam", "mean")
 
 
+def content_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The rows of ``docs`` with struct ``_mix``: size, source_size, target, rate, copies, taken.
 
-    Only ``doc_id``, ``text`` (or a ready ``_size``) and ``source`` are read for
+    Only ``doc_id``, ``text`` (or a ready ``_size`` and ``_content``) and ``source`` are read for
     it; a text is never shuffled.
     """
     size = F.col("_size") if "_size" in docs.columns else word_count(F.col("text"))
+    # rows of one doc_id and size are told apart by their text, else their order were that of the partitions
+    content = F.col("_content") if "_content" in docs.columns else content_hash(F.col("text"))
     own = [F.col(f"`{c}`").alias(f"_in{i}") for i, c in enumerate(docs.columns)]
-    row = docs.select(*own, F.col("source").alias("source"), size.alias("size"),
-                      ((F.xxhash64(F.col("doc_id"), F.lit(9), size).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)).alias("u"))
+    row = docs.select(*own, F.col("source").alias("source"), size.alias("size"), content.alias("content"),
+                      ((F.xxhash64(F.col("doc_id"), F.lit(9), size, content).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)).alias("u"))
     hist = C.stored(row.groupBy("source", "size").count(), "sizes")
     sources = targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("count")).alias("source_size"),
                                                  F.sum("count").alias("n")), weights, share, most)
@@ -125,7 +131,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     within = F.col("bin").eqNullSafe(F.col("cut")) & F.col("cut").isNotNull()
     far = rated.where(~within).withColumn(
         "copies", F.col("whole") + F.when(F.col("bin").isNotNull() & (F.col("cut").isNull() | (F.col("bin") < F.col("cut"))), 1).otherwise(0))
-    line = Window.partitionBy("_sid").orderBy("turn", "u", "size").rowsBetween(Window.unboundedPreceding, -1)
+    line = Window.partitionBy("_sid").orderBy("turn", "u", "size", "content").rowsBetween(Window.unboundedPreceding, -1)
     near = rated.where(within).withColumn(
         "copies", F.col("whole") + F.when(F.coalesce(F.sum("size").over(line), F.lit(0)) + F.col("size") / 2 <= F.col("room"), 1).otherwise(0))
     out = F.struct("size", "source_size", "target", "rate", F.col("copies").cast("long").alias("copies"),
@@ -135,5 +141,5 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = C.documents(spark, sf_dir)
-    narrow = C.stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("_size")), "sized")
+    narrow = C.stored(docs.select("doc_id", "source", word_count(F.col("text")).alias("_size"), content_hash(F.col("text")).alias("_content")), "sized")
     return mix(narrow).select("doc_id", "_mix.size", "_mix.source_size", "_mix.target", "_mix.taken", "_mix.copies", "_mix.rate")
