@@ -155,8 +155,8 @@ def _ranges(rows: DataFrame, n: int) -> Column:
 
 
 def with_successor(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, own, next_text, following): each text and its digests with those of the
-    next row in order of doc_id, the last with the first's.
+    """(doc_id, text, own, own_sketch, next_text, following, following_sketch): each text, its digests and their
+    base sketch with those of the next row in order of doc_id, the last with the first's.
 
     Rows are dealt to ranges of ids (one shuffle of the text); the first row of each range
     is also sent, as a guest, to the end of the range before.
@@ -164,24 +164,26 @@ def with_successor(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("_d"), text.alias("text"))
     rows = rows.withColumn("_range", _ranges(rows, -(-(C.scan_bytes(docs) or 0) // RANGE_BYTES)))
-    rows = rows.withColumn("own", digests(F.col("text")))
-    first = rows.groupBy("_range").agg(F.min(F.struct("_d", "text", "own")).alias("f"))
+    rows = rows.withColumn("own", digests(F.col("text"))).withColumn("own_sketch", sketch(F.col("own"), BASE_WIDTH))
+    first = rows.groupBy("_range").agg(F.min(F.struct("_d", "text", "own", "own_sketch")).alias("f"))
     line = Window.orderBy("_range")  # one row for each range
     before = F.coalesce(F.lag("_range").over(line), F.max("_range").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    guests = first.select(F.lit(None).cast("long").alias("doc_id"), "f._d", "f.text", before.alias("_range"), "f.own", F.lit(1).alias("_guest"))
+    guests = first.select(F.lit(None).cast("long").alias("doc_id"), "f._d", "f.text", before.alias("_range"), "f.own", "f.own_sketch",
+                          F.lit(1).alias("_guest"))
     order = Window.partitionBy("_range").orderBy("_guest", "_d", "text")
     return (rows.withColumn("_guest", F.lit(0)).unionByName(guests)
-            .withColumns({"next_text": F.lead("text").over(order), "following": F.lead("own").over(order)})
-            .where("_guest = 0").select("doc_id", "text", "own", "next_text", "following"))
+            .withColumns({"next_text": F.lead("text").over(order), "following": F.lead("own").over(order),
+                          "following_sketch": F.lead("own_sketch").over(order)})
+            .where("_guest = 0").select("doc_id", "text", "own", "own_sketch", "next_text", "following", "following_sketch"))
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
     """A row per document: its and its edited text's fingerprint, and how like they and its successor's are."""
     rows = with_successor(docs).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), F.expr("left(next_text, cast(n_chars div 2 as int))")))
-    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own",
-                       digests(F.col("edited")).alias("new"), "following")
-    rows = rows.withColumns({f"{c}_sketch": sketch(F.col(c), BASE_WIDTH) for c in ("own", "new", "following")})
+    rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", "own_sketch",
+                       digests(F.col("edited")).alias("new"), "following", "following_sketch")
+    rows = rows.withColumn("new_sketch", sketch(F.col("new"), BASE_WIDTH))
     rows = add_difference(rows, "own", "new", "own_sketch", "new_sketch", "edits")
     rows = add_difference(rows, "own", "following", "own_sketch", "following_sketch", "others")
     return rows.select("doc_id", "n_chars", "edited_sha256", fingerprint(F.col("own_sketch")).alias("fingerprint"),
