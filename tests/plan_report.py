@@ -20,13 +20,16 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 JOBS = [
     ("category_scorecard", "flagship: line measures pre-aggregated per sub-category on the "
                            "bucketed fact, small dimension broadcast, windows over 8 rows"),
-    ("monthly_growth", "per-order aggregate and order join on the bucketed facts (no exchange "
-                       "below the join), LAG / running sums over the month rows"),
+    ("monthly_growth", "orders stored by month, no join; LAG / running sums over the month rows"),
+    ("monthly_growth_period", "the same of a period: partition filters on the months"),
+    ("v_customer_rfm", "scores kept by the stored model; the bucket ends are selected without a sort"),
     ("v_sub_category_performance", "distinct orders per sub-category as a two-level aggregate"),
     ("top3_per_state", "per-state top 3: partial WindowGroupLimit before the shuffle"),
     ("first_vs_latest", "first/last order values in one aggregation (no self-join)"),
     ("order_sequence", "customer sequences: checkpointed global sort, block-wise group join"),
-    ("revenue_concentration", "running share over customers without a single-partition window"),
+    ("revenue_concentration", "two rows of a running sum, selected without a sort"),
+    ("val_results", "the whole suite: one scalar subquery a side"),
+    ("load_rejects", "rejected rows by reason, from the load's quarantine"),
     ("target_grid", "targets LEFT JOIN actuals pre-aggregated per (order, category)"),
 ]
 MARKERS = ["Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange SinglePartition",
