@@ -149,6 +149,26 @@ def test_published_model_is_reused_until_its_inputs_change(spark, monkeypatch):
     assert third.number == 2
 
 
+def test_applications_that_build_at_a_time_agree(spark, monkeypatch):
+    """The slower one takes the faster one's model; a manifest whose tables are gone counts for nothing."""
+    path = sinks.shared_dir(spark, "models")
+    real, tries = publish.ModelStore.commit, []
+
+    def late(self, version, tables, verdicts, inputs, after):
+        tries.append(version)
+        if len(tries) == 1:  # someone else has published the same number meanwhile, and removed it again
+            real(self, "rival", tables, verdicts, inputs, after)
+        elif len(tries) == 2:  # and now for good
+            sinks.published_model(spark, SF_SMALL, PERIOD_START, PERIOD_END, path)
+        return real(self, version, tables, verdicts, inputs, after)
+
+    monkeypatch.setattr(publish.ModelStore, "commit", late)
+    star, m = sinks.published_model(spark, SF_SMALL, PERIOD_START, PERIOD_END, path)
+    assert len(tries) == 3 and m.version == tries[2] and m.number == 2
+    assert star.fact_orders.count() == m.tables["fact_orders"]["rows"]
+    assert set(files.children(spark, f"{path}/versions")) == {tries[2]}
+
+
 def test_state_of_inputs_changes_with_the_files(spark):
     path = sinks.shared_dir(spark, "inputs")
     spark.range(5).write.parquet(path)

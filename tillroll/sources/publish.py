@@ -94,9 +94,10 @@ class ModelStore:
         return self.manifest(numbers[-1]) if numbers else None
 
     def current_for(self, inputs: dict[str, str]) -> Manifest | None:
-        """The published version if it was built by this code from inputs in this state."""
+        """The published version if it was built by this code from inputs in this state (and is still there)."""
         now = self.current()
-        return now if now and now.inputs == inputs and now.code == code_state() != "" else None
+        same = now and now.inputs == inputs and now.code == code_state() != ""
+        return now if same and files.exists(self.spark, self.folder(now.version)) else None
 
     def new_version(self) -> str:
         return f"{time.strftime('%Y%m%dT%H%M%S', time.gmtime())}-{uuid.uuid4().hex[:8]}"
