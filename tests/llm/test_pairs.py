@@ -4,6 +4,8 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from corpus_rows import edge_rows, passage, table
 from pyspark.sql import functions as F
@@ -156,15 +158,13 @@ def normal(line):
 
 
 def line_dedup(rows):
-    """Brute force: all pairs of different lines whose SimHash is near and whose edit similarity is high."""
-    at, sig = {}, {}
+    """Brute force: all pairs of different lines whose edit similarity is high."""
+    at = {}
     order = sorted(range(len(rows)), key=lambda i: (brute.LOWEST if rows[i][0] is None else rows[i][0]))
     for i in order:
         for k, line in enumerate((rows[i][1] or "").split("\n")):
             if line.strip(" \t\n\r\v\f"):
                 at.setdefault(normal(line), []).append((i, k))
-                raw = np.frombuffer(line.encode(), np.uint8)
-                sig[normal(line)] = int(lines.hashed_lines(raw, np.array([0, len(raw)]))[3][0])
     up = {x: x for x in at}
 
     def top(x):
@@ -175,7 +175,7 @@ def line_dedup(rows):
     names = list(at)
     for i, x in enumerate(names):
         for y in names[:i]:
-            if (sig[x] ^ sig[y]).bit_count() <= lines.DISTANCE and brute.levenshtein(x, y) <= int(max(len(x), len(y)) * (1 - lines.SIMILARITY) + 1e-9):
+            if brute.levenshtein(x, y) <= int(max(len(x), len(y)) * (1 - lines.SIMILARITY) + 1e-9):
                 up[top(x)] = top(y)
     groups = {}
     for x, places in at.items():
@@ -208,17 +208,51 @@ def test_line_dedup(spark, nothing):
 
 
 def test_near_blocks():
+    """Hashes within three bits, of lengths that allow similarity, meet in a pair of blocks; others do not."""
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 30, np.uint64)
-    sig = np.unique(np.concatenate([base, base ^ np.uint64(5), base ^ (np.uint64(1) << np.uint64(40))]))
-    found = set()
-    for pair in lines.PAIRS:
-        key = np.sort(lines._turned(sig, pair))
-        assert (np.sort(lines._turned_back(key, pair)) == sig).all()
-        near, best = lines.near_in_blocks(key, lines._shifts(pair)[1], 3)
-        back = lines._turned_back(key, pair)
-        found |= {frozenset((int(back[i]), int(back[j]))) for i, j in enumerate(best) if j >= 0}
-    assert all(any((a ^ b).bit_count() <= 3 for a in map(int, sig) if a != b and frozenset((a, b)) in found) for b in map(int, sig))
+    words = np.unique(np.concatenate([base, base ^ np.uint64(5), base ^ (np.uint64(1) << np.uint64(40))]))
+    sig = np.arange(len(words), dtype=np.uint64) << np.uint64(8) | np.uint64(100)
+    back, found = dict(zip(sig.tolist(), words.tolist())), set()
+    batch = pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(words.view(np.int64)), pa.array([bytes(4 * lines.BANDS)] * len(sig))],
+                                       names=["sig", "words", "bands"])
+    keys = pa.Table.from_batches(list(lines._block_keys(1)([batch])))
+    blocks = keys.filter(pc.less(keys["pair"], len(lines.PAIRS)))
+    out = lines._near_groups(lines.DISTANCE, lines.reach(0.9))(blocks)
+    for x, y in zip(out["sig"].to_pylist(), out["near"].to_pylist()):
+        assert (back[x] ^ back[y]).bit_count() <= lines.NEAR
+        found.add(frozenset((back[x], back[y])))
+    assert all(any((a ^ b).bit_count() <= 3 for a in back.values() if a != b and frozenset((a, b)) in found) for b in back.values())
+    near, _ = lines.nearest(np.zeros(2, np.uint64), np.array([10, 40], np.uint64), 25, lines.reach(0.9))
+    assert not near.any()
+
+
+def test_groups_beyond_wide(monkeypatch):
+    """Groups of more than WIDE rows stay whole, in smaller ones only rows with a near partner."""
+    rng = np.random.default_rng(2)
+    sig = np.sort(rng.integers(0, 1 << 55, 200, np.uint64) << np.uint64(8))
+    sig[50] = sig[49] ^ np.uint64(1 << 9)
+    group = np.zeros(200, np.uint64)
+    near, best = lines.nearest(group, sig, 3, 4)
+    assert near.sum() == 2 and near[[49, 50]].all() and best[50] == 49
+    monkeypatch.setattr(lines, "WIDE", 100)
+    near, best = lines.nearest(group, sig, 3, 4)
+    assert near.all() and best[50] == 49
+
+
+def test_edit_distance():
+    """The bounded check equals the distance, at, below and above the bound."""
+    rng = np.random.default_rng(5)
+    for _ in range(1500):
+        x = "".join(rng.choice(list("abc é"), int(rng.integers(0, 70))))
+        y = list(x)
+        for _ in range(int(rng.integers(0, 9))):
+            at, kind = int(rng.integers(len(y) + 1)), int(rng.integers(3))
+            y[at:at + (kind > 0)] = rng.choice(list("abc é"), int(kind < 2)).tolist()
+        y = "".join(y)
+        d = brute.levenshtein(x, y)
+        for most in {0, d // 2, max(d - 1, 0), d, d + 1}:
+            assert lines.within(x, y, most) == (d <= most), (x, y, most)
 
 
 def test_line_dedup_without_filter(spark):
@@ -236,7 +270,7 @@ def test_line_dedup_without_filter(spark):
     links = [(i, j) for i, x in enumerate(texts) for j, y in enumerate(texts[:i])
              if abs(len(x) - len(y)) <= 6 and x != y and brute.levenshtein(x, y) <= int(max(len(x), len(y)) * (1 - lines.SIMILARITY) + 1e-9)]
     raw = np.frombuffer("\n".join(texts).encode(), np.uint8)
-    sig = [int(x) for x in lines.hashed_lines(raw, np.array([0, len(raw)]))[3]]
+    sig = [int(x) for x in lines.hashed_lines(raw, np.array([0, len(raw)]))[3][:, 1]]
     assert sum((sig[i] ^ sig[j]).bit_count() > lines.NEAR for i, j in links) > 60
     up = list(range(len(texts)))
     for _ in texts:
