@@ -107,6 +107,14 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def release(spark: SparkSession, *paths: str) -> None:
+    """Delete stored tables that have had their last reader, and let Spark's cleaner drop the shuffle
+    files of finished queries (it does so when the driver's JVM collects them, by default every half hour)."""
+    for path in paths:
+        remove(spark, path)
+    spark._jvm.System.gc()
+
+
 def broadcast_if_small(df: DataFrame, most: int = 16 << 20) -> DataFrame:
     """``df`` (a stored table) marked for broadcast if its files are small; else a shuffle join takes it."""
     size = scan_bytes(df)
