@@ -121,31 +121,68 @@ def broadcast_if_small(df: DataFrame, most: int = 16 << 20) -> DataFrame:
     return F.broadcast(df) if size is not None and size <= most else df
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
+#: Links that one task joins into components; more are contracted in distributed rounds until so many are left.
+TASK_LINKS = 1 << 20
+
+
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the links (u, v), ascending, and the smallest node that each reaches."""
+    node, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[:len(u)], at[len(u):]
+    root = np.arange(len(node))
+    while len(x):
+        parent = np.arange(len(node))
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        far = parent[parent]
+        while (far != parent).any():
+            parent, far = far, far[far]
+        root, x, y = parent[root], parent[x], parent[y]
+        x, y = x[x != y], y[x != y]
+    return node, node[root]
+
+
+def _joined(batches) -> Iterator[pa.RecordBatch]:
+    held = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in roots(*(np.concatenate(x) for x in zip(*held)))], names=["node", "component"])
+
+
+def _links(pairs: DataFrame, name: str) -> DataFrame:
+    return stored(pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{name}-links")
+
+
+def components(edges: DataFrame, name: str = "components", task_links: int = TASK_LINKS) -> DataFrame:
     """(node, component): smallest node reachable over ``edges(u, v)``; only nodes with an edge.
 
-    Label propagation with pointer jumping: each round a node takes the
-    smallest label among its neighbours and then the label of its label, so a
-    group of diameter d settles in O(log d) rounds.  Each round is a written
-    table; only one count per round reaches the driver.
+    While there are more than ``task_links`` links, a round contracts them: every node
+    points to the neighbour with the smallest hash, if that is smaller than its own, and is
+    replaced by what the node it points to points to.  Links within a group vanish, so each round leaves
+    a fraction of nodes and links, however long the paths are.  One task joins the rest (bounded
+    by ``task_links``); the rounds' maps are then applied backwards.  Rounds are written
+    tables; only a count for each reaches the driver.
     """
-    both = stored(edges.select("u", "v").where("u <> v")
-                  .select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
-                          .alias("e")).select("e.u", "e.v").distinct(), f"{name}-edges")
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(
-        F.least(F.min("v"), F.first("u")).alias("component")), f"{name}-labels")
-    while True:
-        known = broadcast_if_small(labels)
-        near = (both.join(known.withColumnRenamed("node", "v"), "v")
-                .groupBy(F.col("u").alias("node")).agg(F.min("component").alias("near")))
-        step = near.join(known, "node").select(
-            "node", F.col("component").alias("old"), F.least("component", "near").alias("c"))
-        jump = known.select(F.col("node").alias("c"), F.col("component").alias("far"))
-        step = stored(step.join(jump, "c", "left").select(
-            "node", "old", F.least("c", F.coalesce("far", "c")).alias("component")), f"{name}-labels")
-        labels = step.select("node", "component")
-        if step.where("old <> component").isEmpty():
-            return labels
+    links, maps = _links(edges.select("u", "v"), name), []
+    while links.count() > task_links:
+        both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        code = F.xxhash64("v")
+        least = both.groupBy("u").agg(F.min_by("v", code).alias("v"), F.min(code).alias("code"))
+        step = broadcast_if_small(stored(least.select(
+            F.col("u").alias("node"), F.when(F.col("code") < F.xxhash64("u"), F.col("v")).otherwise(F.col("u")).alias("next")), f"{name}-step"))
+        jump = stored(step.join(step.select(F.col("node").alias("next"), F.col("next").alias("far")), "next")
+                      .select("node", F.col("far").alias("next")), f"{name}-map")
+        maps.append(jump)
+        jump = broadcast_if_small(jump)
+        links = _links(links.join(jump.select(F.col("node").alias("u"), F.col("next").alias("x")), "u")
+                       .join(jump.select(F.col("node").alias("v"), F.col("next").alias("y")), "v")
+                       .select(F.col("x").alias("u"), F.col("y").alias("v")), name)
+    labels = stored(links.coalesce(1).mapInArrow(_joined, "node long, component long"), f"{name}-labels")
+    for jump in reversed(maps):
+        known = broadcast_if_small(labels.withColumnRenamed("node", "next"))
+        labels = stored(jump.join(known, "next", "left").select("node", F.coalesce("component", "next").alias("component")), f"{name}-labels")
+    if maps:  # a contracted group bears the name of one of its nodes
+        least = stored(labels.groupBy("component").agg(F.min("node").alias("least")), f"{name}-least")
+        labels = stored(labels.join(broadcast_if_small(least), "component").select("node", F.col("least").alias("component")), f"{name}-labels")
+    return labels
 
 
 # ---- task side: texts as arrays -------------------------------------------------
