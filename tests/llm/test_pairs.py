@@ -76,6 +76,35 @@ def test_decontamination(spark, small, edges, nothing):
     assert one == many
 
 
+def test_query_blocks(spark):
+    """A long item in many blocks, one window in two items, windows that repeat in an item."""
+    words = passage(31, 60)
+    texts = [(i, " ".join(passage(50 + i, 30) + words[a:b] + passage(80 + i, 9))) for i, (a, b) in enumerate([(0, 60), (0, 13), (5, 17), (40, 60), (20, 46)])]
+    items = [("a", " ".join(words * 2)), ("b", " ".join(words[:20])), ("c", " ".join(words[41:44])), ("d", ""), (None, " ".join(words[20:33]))]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = Counter(brute.contamination(texts, [(i or "", t) for i, t in items]))
+    docs = table(spark, [(d, t, "s") for d, t in texts])
+    for bench_, size in ((bench, decontam.QUERY_BYTES), (bench, 120), (bench.repartition(4), 80)):
+        blocks = decontam.query_blocks(bench_, block_bytes=size)
+        assert size > 120 or blocks.count() > 4
+        index = decontam.build_index(docs)
+        hits = {r["_d"]: r for r in decontam.search(index, bench_, block_bytes=size).collect()}
+        assert {d: ",".join(r["items"]) for d, r in hits.items()} == decontaminated_items(texts, items)
+    out = decontam.contamination(docs, bench)
+    assert Counter(map(tuple, out.select(C.doc_id_of(), "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ","), 256), "contaminated").collect())) == want
+
+
+def decontaminated_items(texts, items):
+    """Ids of the items with a window in each document, by plain search."""
+    out = {}
+    for d, t in texts:
+        own = [i or "" for i, x in items for n in [min(13, len(x.split()))] if n
+               and any(" " + " ".join(x.split()[k:k + n]) + " " in f" {t} " for k in range(len(x.split()) - n + 1))]
+        if own:
+            out[d] = ",".join(sorted(own))
+    return out
+
+
 def test_proximity(spark):
     docs = table(spark, [(1, "alpha x beta y gamma", "s"), (2, "alpha x x x x x beta gamma", "s"), (3, "gamma beta alpha", "s")])
     bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")

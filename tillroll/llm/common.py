@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import io
 import pathlib
+import re
 import zipfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +103,11 @@ def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def file_system(path: str):
+    """Arrow's file system of a file in the shared folder, and the file's name there; for tasks."""
+    return pyarrow.fs.FileSystem.from_uri(re.sub(r"^file:/(?=[^/])", "file:///", path))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that has had its last reader."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -3,16 +3,17 @@
 ``build_index`` stores, for every block of training documents, the block's
 terms, their counts and their ascending token positions (postings).  The index
 is partitioned by document, so building it moves no text, and a phrase is
-looked up in every block on its own.  ``search`` takes the phrases (windows of
-the test items) in bounded blocks of the query set; in an index block a phrase
+looked up in every block on its own.  The phrases (windows of the test items) are cut on
+the executors and stored in blocks of a bounded number; ``search`` takes one stored block
+after the other, which the tasks read from the shared folder.  In an index block a phrase
 with an absent term is dropped at once, the others start from the postings of
 their rarest term in that block and intersect the offset-adjusted lists of the
 next rarest, until all terms are in place.  With ``slop`` the match is by
 proximity: every term within ``len - 1 + slop`` words of the rarest one, in any order.
 
 Special rows: null or empty text has no words, a null or repeated ``item_id``
-is the id '' or one item; an empty benchmark hits nothing; repeated document
-rows get equal results.
+is the id '' or one item; an empty benchmark hits nothing; a very long item is several
+query blocks; repeated document rows get equal results.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ from tillroll.llm import common as C
 WIDTH = 13
 #: A document is contaminated if at least one word in this many is hit.
 HIT_SHARE = 20
-#: Bytes of test item text that one search holds; a larger benchmark is searched in several.
+#: Bytes of test item text that one search holds (about; a window for each WINDOW_BYTES at most); a larger benchmark is searched in several.
 QUERY_BYTES = 4 << 20
 #: Bytes of text in a block of the index.
 BLOCK_BYTES = 1 << 20
@@ -38,7 +40,12 @@ BLOCK_BYTES = 1 << 20
 SEPARATOR = np.ones(256, bool)
 SEPARATOR[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
+#: Bytes of test item text for each window of a query block.
+WINDOW_BYTES = 8
+
 INDEX = "d binary, t binary, first binary, terms binary, counts binary, postings binary"
+BLOCKS = "number int, terms binary, sizes binary, places binary, phrases binary, owners binary, names array<string>"
+HITS = "_d long, _t int, spans array<struct<lo: long, hi: long>>, items array<string>"
 
 
 def _terms(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,39 +79,71 @@ class Phrases:
     """Distinct phrases of one query block: their terms (by length) and the items that hold them."""
     terms: np.ndarray  # distinct codes, ascending
     by_length: list[tuple[np.ndarray, np.ndarray]]  # (phrase x place -> number of the term, phrase numbers)
-    owner: list[list[str]]
-
+    names: np.ndarray
+    cuts: np.ndarray  # the owners of phrase i are at cuts[i]..cuts[i + 1]
+    owners: np.ndarray
+
+    def items(self, phrases: np.ndarray) -> list[str]:
+        """Ids of the items that hold one of the phrases."""
+        return sorted(set(self.names[self.owners[C.ranges(self.cuts[phrases], self.cuts[phrases + 1])]].tolist()))
+
+
+def windows(first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Item, first word and words of each window; an item of fewer words than ``width`` is one window."""
+    words = np.diff(first)
+    count = np.where(words > 0, np.maximum(words - width + 1, 1), 0)
+    return np.repeat(np.arange(len(words)), count), C.ranges(first[:-1], first[:-1] + count), np.repeat(np.minimum(words, width), count)
+
+
+def _query_blocks(width: int, most: int):
+    """Query blocks of up to ``most`` windows each."""
+    def block(number, codes, names, item, start, size) -> pa.RecordBatch:
+        key = C.Rolling(codes)(start, start + size)
+        order = np.lexsort((item, key, size))
+        key, item, start, size = key[order], item[order], start[order], size[order]
+        head = C.run_starts(size, key)
+        once = C.run_starts(size, key, item)
+        phrase = np.searchsorted(head, once, "right") - 1
+        terms, places = np.unique(codes[C.ranges(start[head], start[head] + size[head])], return_inverse=True)
+        own, owner = np.unique(item[once], return_inverse=True)
+        row = [number, *(x.tobytes() for x in (terms, size[head].astype(np.int32), places.astype(np.int32), phrase.astype(np.int32), owner.astype(np.int32))),
+               [names[i] for i in own]]
+        types = [pa.int32()] + [pa.binary()] * 5 + [pa.list_(pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names=[x.split()[0] for x in BLOCKS.split(", ")])
 
-def item_windows(codes: np.ndarray, width: int) -> list[tuple[int, ...]]:
-    words = codes.tolist()
-    return [tuple(words[i:i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+    def run(batches):
+        number = 0
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            codes, first = _terms(*C.text_buffer(batch.column(1)))
+            found = windows(first, width)
+            for i in range(0, len(found[0]), most):
+                yield block(number, codes, names, *(x[i:i + most] for x in found))
+                number += 1
+    return run
 
 
-def phrase_blocks(items: DataFrame, width: int, block_bytes: int) -> Iterator[Phrases]:
-    """The query set in blocks of bounded size, streamed through the driver one at a time."""
-    found: dict[tuple[int, ...], set[str]] = {}
-    held = 0
+def query_blocks(items: DataFrame, width: int = WIDTH, block_bytes: int = QUERY_BYTES) -> DataFrame:
+    """Stored query set: the items' distinct windows in blocks of a bounded number, made and kept by the executors."""
+    C.ship(items.sparkSession)
+    texts = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), F.coalesce("text", F.lit("")).alias("x"))
+    size = C.scan_bytes(items)  # few small blocks, as each is a pass over the index
+    if size is not None:
+        texts = texts.coalesce(max(1, -(-size // block_bytes)))
+    return C.stored(texts.mapInArrow(_query_blocks(width, max(1, block_bytes // WINDOW_BYTES)), BLOCKS), "queries")
 
-    def block() -> Phrases:
-        phrases = sorted(found, key=len)
-        terms = np.array(sorted({x for p in phrases for x in p}), np.uint64)
-        by_length = []
-        for n in sorted({len(p) for p in phrases}):
-            own = [i for i, p in enumerate(phrases) if len(p) == n]
-            by_length.append((np.searchsorted(terms, np.array([phrases[i] for i in own], np.uint64)), np.array(own)))
-        return Phrases(terms, by_length, [sorted(found[p]) for p in phrases])
 
-    for r in items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"),
-                          F.coalesce("text", F.lit("")).alias("x")).toLocalIterator():
-        text = np.frombuffer(r.x.encode(), np.uint8)
-        for p in item_windows(_terms(text, np.array([0, len(text)]))[0], width):
-            found.setdefault(p, set()).add(r.i)
-        held += len(text)
-        if held >= block_bytes:
-            yield block()
-            found, held = {}, 0
-    if found:
-        yield block()
+def _load(path: str, number: int) -> Phrases:
+    fs, name = C.file_system(path)
+    row = pq.read_table(name, filesystem=fs, filters=[("number", "=", number)]).to_pylist()[0]
+    size, places, phrase, owner = (np.frombuffer(row[c], np.int32).astype(np.int64) for c in ("sizes", "places", "phrases", "owners"))
+    head = np.cumsum(size) - size
+    by_length = []
+    for n in np.unique(size):
+        own = np.flatnonzero(size == n)
+        by_length.append((places[head[own][:, None] + np.arange(n)], own))
+    return Phrases(np.frombuffer(row["terms"], np.uint64), by_length, np.array(row["names"], object),
+                   np.searchsorted(phrase, np.arange(len(size) + 1)), owner)
 
 
 def _member(lists: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -158,9 +197,11 @@ def _matches(q: Phrases, terms, counts, postings, first, slop):
             yield own[phrase], low, high + 1
 
 
-def _search(q: Phrases, slop: int):
+def _search(path: str, number: int, slop: int):
     def run(batches):
+        q = None
         for batch in batches:
+            q = q or _load(path, number)
             for r in batch.to_pylist():
                 first = C.from_planes(r["first"], np.int64)
                 if not first[-1]:
@@ -180,7 +221,7 @@ def _search(q: Phrases, slop: int):
                 for a, b in zip(head, [*head[1:], len(doc)]):
                     x = doc[a]
                     spans = [{"lo": int(p - first[x]), "hi": int(e - first[x])} for p, e in zip(low[a:b], high[a:b])]
-                    out.append((d[x], t[x], spans, sorted({i for p in np.unique(phrase[a:b]) for i in q.owner[p]})))
+                    out.append((d[x], t[x], spans, q.items(np.unique(phrase[a:b]))))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v, k) for v, k in zip(zip(*out), (
                         pa.int64(), pa.int32(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])), pa.list_(pa.string())))],
@@ -191,12 +232,11 @@ def _search(q: Phrases, slop: int):
 def search(index: DataFrame, items: DataFrame, width: int = WIDTH, slop: int = 0,
            block_bytes: int = QUERY_BYTES) -> DataFrame:
     """(_d, _t, spans, items): documents with a match, the matched word ranges [lo, hi) and the items they are of."""
-    found = None
-    for q in phrase_blocks(items, width, block_bytes):
-        hits = index.mapInArrow(_search(q, slop), "_d long, _t int, spans array<struct<lo: long, hi: long>>, items array<string>")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = index.sparkSession.createDataFrame([], "_d long, _t int, spans array<struct<lo: long, hi: long>>, items array<string>")
+    spark = index.sparkSession
+    found = spark.createDataFrame([], HITS)
+    blocks = query_blocks(items, width, block_bytes)
+    for r in blocks.select(F.input_file_name().alias("path"), "number").orderBy("path", "number").collect():  # names only, no texts
+        found = found.unionByName(C.stored(index.mapInArrow(_search(r.path, r.number, slop), HITS), "hits"))
     return (found.groupBy("_d", "_t").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
