@@ -155,7 +155,7 @@ def _ranges(rows: DataFrame, n: int) -> Column:
 
 
 def with_successor(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, own, own_sketch, next_text, following, following_sketch): each text, its digests and their
+    """(doc_id, text, own, next_text, following, own_sketch, following_sketch): each text, its digests and their
     base sketch with those of the next row in order of doc_id, the last with the first's.
 
     Rows are dealt to ranges of ids (one shuffle of the text); the first row of each range
@@ -174,7 +174,7 @@ def with_successor(docs: DataFrame) -> DataFrame:
     return (rows.withColumn("_guest", F.lit(0)).unionByName(guests)
             .withColumns({"next_text": F.lead("text").over(order), "following": F.lead("own").over(order),
                           "following_sketch": F.lead("own_sketch").over(order)})
-            .where("_guest = 0").select("doc_id", "text", "own", "own_sketch", "next_text", "following", "following_sketch"))
+            .where("_guest = 0").select("doc_id", "text", "own", "next_text", "following", "own_sketch", "following_sketch"))
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
