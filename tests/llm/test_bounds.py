@@ -1,0 +1,64 @@
+"""Bounds that pass over pairs before they are compared, and what an encoder forgets."""
+
+from collections import Counter
+
+import brute
+import numpy as np
+from corpus_rows import passage, table
+
+from tillroll.llm import lines
+
+
+def test_marks_of_lines():
+    """A pair within the edit distance is never passed over; unlike lines of one length are."""
+    rng, alphabet = np.random.default_rng(4), list("abcdefg éß漢 xyz7,")
+    texts, far = ["7,7 7", "zz", "é"], 0
+    for _ in range(60):
+        x = "".join(rng.choice(alphabet, int(rng.integers(1, 90))))
+        texts.append(x)
+        y = list(x)
+        for _ in range(int(rng.integers(0, 14))):
+            at, kind = int(rng.integers(len(y) + 1)), int(rng.integers(3))
+            y[at:at + (kind > 0)] = rng.choice(alphabet, int(kind < 2)).tolist()
+        texts.append("".join(y))
+    texts = [x for x in texts if x.strip()]
+    raw = "\n".join(texts).encode()
+    got = lines.hashed_lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    table_ = bytes(np.where(lines.NORMAL == 0x0A, 0x20, lines.NORMAL).astype(np.uint8))
+    plain = [(b" ".join(x.encode().translate(table_).split()) or x.strip().encode()).decode() for x in texts]
+    assert len(got[5]) == len(plain)
+    for i, x in enumerate(plain):
+        keep = lines.possible(np.repeat(got[5][i:i + 1], len(plain), axis=0), got[5], 0.9)
+        for j, y in enumerate(plain):
+            near = brute.levenshtein(x, y) <= int(max(len(x), len(y)) * 0.1 + 1e-9)
+            assert keep[j] or not near, (x, y)
+            far += not keep[j]
+    assert far > len(plain) ** 2 / 2
+
+
+def test_texts_move_for_possible_pairs_only(spark, monkeypatch):
+    """Lines of one frame with different words meet, but their texts are not joined."""
+    rng, frame = np.random.default_rng(6), " ".join(passage(3, 25))
+    texts = [f"{frame} {' '.join(''.join(rng.choice(list('abcdefghijklmnopqrstuvwxyz'), 6)) for _ in range(6))}" for _ in range(60)]
+    texts += [texts[0] + "x", texts[1][1:]]
+    seen, similar = [], lines._similar
+
+    def counted(pairs, of, similarity):
+        seen.append(pairs.count())
+        return similar(pairs, of, similarity)
+
+    monkeypatch.setattr(lines, "_similar", counted)
+    got = lines.line_dedup(table(spark, [(i, x, "s") for i, x in enumerate(texts)])).where("n_removed > 0").collect()
+    want = {i for i, x in enumerate(texts) for y in texts[:i] if brute.levenshtein(x, y) <= int(max(len(x), len(y)) * 0.1 + 1e-9)}
+    assert {r["doc_id"] for r in got} == want
+    assert sum(seen) < 40
+
+
+def test_rounds_of_pairs(spark):
+    """More pairs than texts are compared in rounds, each pair once."""
+    texts = [(1, "abcdefghijk"), (2, "abcdefghijkl"), (3, "abcdefghijklmn"), (4, "zzzzzzzzzzz"), (5, "abcdefghijkx")]
+    pairs = [(a, b) for a, _ in texts for b, _ in texts if a < b]
+    got = lines._similar(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(texts, "lid long, line string"), 0.9)
+    of = dict(texts)
+    assert Counter(map(tuple, got.collect())) == Counter(
+        (a, b) for a, b in pairs if brute.levenshtein(of[a], of[b]) <= int(max(len(of[a]), len(of[b])) * 0.1 + 1e-9))
