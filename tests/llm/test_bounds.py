@@ -4,9 +4,17 @@ from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
 from corpus_rows import passage, table
 
-from tillroll.llm import lines
+from tillroll.llm import jaccard, lines
+
+
+def changed(rng, words, edits):
+    out = list(words)
+    for at in rng.choice(len(out), edits, replace=False):
+        out[at] = f"z{rng.integers(1 << 40)}"
+    return out
 
 
 def test_marks_of_lines():
@@ -62,3 +70,56 @@ def test_rounds_of_pairs(spark):
     of = dict(texts)
     assert Counter(map(tuple, got.collect())) == Counter(
         (a, b) for a, b in pairs if brute.levenshtein(of[a], of[b]) <= int(max(len(of[a]), len(of[b])) * 0.1 + 1e-9))
+
+
+def test_sketches_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for size, edits in ((3, 1), (60, 7), (700, 90), (9000, 30)):
+        base = rng.integers(-(1 << 62), 1 << 62, size)
+        sets = [base, np.concatenate([base[edits:], rng.integers(-(1 << 62), 1 << 62, edits * 2)])]
+        batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))], names=["cls", "elements"])
+        out = next(jaccard._sketches([batch]))
+        sketch = out.column(2).to_pylist()
+        apart = len(set(sets[0]) ^ set(sets[1]))
+        for width in {8, min(map(len, sketch))}:
+            x, y = jaccard._folded(sketch, width)
+            bits = int(np.bitwise_count(x ^ y).sum())
+            assert bits <= apart
+            assert width < min(map(len, sketch)) or bits > 0.7 * apart
+
+
+def test_family_below_the_threshold(spark, monkeypatch):
+    """Texts that all meet and are hardly similar: pairs compared do not grow with the square, links are all found."""
+    rng, base, rows, seen = np.random.default_rng(9), passage(5, 160), [], []
+    for i in range(150):
+        rows.append((i, " ".join(changed(rng, base, int(rng.integers(6, 9))))))
+    rows += [(200 + i, " ".join(changed(rng, rows[i][1].split(" "), 1))) for i in range(20)]
+    compare = jaccard.compare
+
+    def counted(pairs, *more):
+        seen.append(pairs.count())
+        return compare(pairs, *more)
+
+    monkeypatch.setattr(jaccard, "compare", counted)
+    out = jaccard.similarity_components(table(spark, [(d, t, "s") for d, t in rows])).select("_d", "n_shingles", "component")
+    want = Counter(brute.jaccard_components(rows))
+    assert Counter(map(tuple, out.collect())) == want and any(d != c for d, _, c in want)
+    assert sum(seen) < 5 * len(rows)
+
+
+def test_blocks_of_a_large_group(spark):
+    """A group dealt to tasks as pairs of blocks gives the pairs of the whole group."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(-(1 << 62), 1 << 62, 100)
+    sets = [(i, np.concatenate([rng.permutation(base)[int(rng.integers(5, 20)):], rng.integers(-(1 << 62), 1 << 62, 5)]).tolist()) for i in range(90)]
+    df = spark.createDataFrame(sets, "cls long, elements array<long>")
+    sketches = df.mapInArrow(jaccard._sketches, "cls long, n int, sketch binary")
+    members = sketches.selectExpr("7L AS gid", "cls", "n", "cls % 40 AS comp", "cls % 3 > 0 AS probe", "90L AS size")
+    tested = spark.createDataFrame([(0, 1)], "a long, b long")
+    whole, parts = (set(map(tuple, jaccard.candidates(members, sketches, tested, 75, 100, False, block=n).collect())) for n in (4096, 16))
+    assert whole == parts and (0, 1) not in whole
+    of = {c: set(x) for c, x in sets}
+    for a in of:
+        for b in range(a + 1, 90):
+            if 100 * len(of[a] & of[b]) >= 75 * len(of[a] | of[b]) and a % 40 != b % 40 and (a % 3 or b % 3) and (a, b) != (0, 1):
+                assert (a, b) in whole
