@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from corpus_rows import passage, table
 
-from tillroll.llm import jaccard, lines
+from tillroll.llm import binary, jaccard, lines
 
 
 def changed(rng, words, edits):
@@ -123,3 +123,16 @@ def test_blocks_of_a_large_group(spark):
         for b in range(a + 1, 90):
             if 100 * len(of[a] & of[b]) >= 75 * len(of[a] | of[b]) and a % 40 != b % 40 and (a % 3 or b % 3) and (a, b) != (0, 1):
                 assert (a, b) in whole
+
+
+def test_encoder_keeps_what_comes_again():
+    encoder = binary.Encoder(binary.vocabulary_bytes(), most=3000)
+    rng, often, sent = np.random.default_rng(1), passage(1, 200), []
+    whole = encoder._whole
+    encoder._whole = lambda texts: sent.extend(texts) or whole(texts)
+    for _ in range(12):
+        words = often + [f"q{rng.integers(1 << 40)}" for _ in range(60)]
+        ids, lengths = encoder(pa.array([" ".join(["a", *words])]), 0)
+        assert ids.tolist() == [*whole([" ".join(["a", *words])])[0], 0] and lengths.tolist() == [len(ids)]
+    again = Counter(p for text in sent for p in text.split(" "))
+    assert max(again[p] for p in set(often)) == 1 and len(encoder.flat) <= 2 * encoder.most

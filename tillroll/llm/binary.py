@@ -33,7 +33,9 @@ import re
 import struct
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -198,8 +200,9 @@ class Encoder:
     """Whole texts to ids, by the tokenizers library, each different piece between spaces once.
 
     Byte-level pre-tokens never reach over a single space between visible characters, so ids of a
-    text are those of its pieces (each with the space before it) in a row.  Pieces are kept between batches up to
-    ``most`` ids and then forgotten; texts with unsure spaces are encoded whole.
+    text are those of its pieces (each with the space before it) in a row.  Pieces are kept between batches; beyond
+    ``most`` ids those go that came in one batch only, and all if the others are more than half of ``most``.  Texts with
+    unsure spaces are encoded whole.
     """
 
     def __init__(self, data: bytes, most: int = 1 << 22):
@@ -213,7 +216,19 @@ class Encoder:
         self._forget()
 
     def _forget(self):
-        self.known, self.flat, self.ends = {}, np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.known, self.flat, self.ends = defaultdict(count().__next__), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.again = np.zeros(0, bool)  # pieces that came in a later batch too
+
+    def _forget_rare(self):
+        keep = np.flatnonzero(self.again)
+        size = np.diff(self.ends)[keep]
+        if 2 * size.sum() > self.most:
+            return self._forget()
+        pieces = list(self.known)
+        self.flat = self.flat[C.ranges(self.ends[keep], self.ends[keep + 1])]
+        self.ends = np.concatenate([[0], np.cumsum(size)])
+        self.known = defaultdict(count(len(keep)).__next__, zip([pieces[i] for i in keep.tolist()], range(len(keep))))
+        self.again = np.zeros(len(keep), bool)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -221,19 +236,24 @@ class Encoder:
     def _places(self, pieces: list[str]) -> np.ndarray:
         """Where in self.flat the ids of each piece are; unknown ones are encoded in one go."""
         if len(self.flat) > self.most:
-            self._forget()
-        new = [p for p in pieces if p not in self.known]
-        if new:
+            self._forget_rare()
+        old = len(self.again)
+        places = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))  # new ones are numbered as they come
+        fresh = places >= old
+        self.again[places[~fresh]] = True
+        if fresh.any():
+            new = [pieces[i] for i in np.flatnonzero(fresh).tolist()]
+            self.again = np.concatenate([self.again, np.zeros(len(new), bool)])
             step = 1 << 14
             ids = np.concatenate([np.array(x, np.uint32) for x in self._whole(
                 ["".join(" " + p for p in new[i:i + step]) for i in range(0, len(new), step)])])
             starts = np.flatnonzero(self.leads[ids])
             if len(starts) != len(new):
+                self._forget()  # a worker may live longer than the task
                 raise ValueError("the tokenizer joins ids over spaces")
-            self.known.update(zip(new, range(len(self.ends) - 1, len(self.ends) - 1 + len(new))))
             self.ends = np.concatenate([self.ends, len(self.flat) + np.append(starts[1:], len(ids))])
             self.flat = np.concatenate([self.flat, ids])
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        return places
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, each followed by the end id; their numbers with the end)."""
@@ -245,7 +265,7 @@ class Encoder:
         inner = np.ones(len(flat), bool)  # all but the first pieces, which have no space before them
         inner[offs[:-1]] = False
         coded = flat.filter(pa.array(inner)).dictionary_encode()
-        places = self._places(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
+        places = self._places(coded.dictionary.to_numpy(zero_copy_only=False).tolist())[coded.indices.to_numpy()]
         lead = flat.take(pa.array(offs[:-1])).to_pylist()
         heads = iter(self._whole(lead))
         wholes = iter(self._whole(texts.filter(pa.array(unsure)).to_pylist()))
