@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 from corpus_rows import passage, table
 
-from tillroll.llm import binary, jaccard, lines
+from tillroll.llm import binary, common, jaccard, lines
 
 
 def changed(rng, words, edits):
@@ -136,3 +136,84 @@ def test_encoder_keeps_what_comes_again():
         assert ids.tolist() == [*whole([" ".join(["a", *words])])[0], 0] and lengths.tolist() == [len(ids)]
     again = Counter(p for text in sent for p in text.split(" "))
     assert max(again[p] for p in set(often)) == 1 and len(encoder.flat) <= 2 * encoder.most
+
+
+def moved(rng, n):
+    """Texts of the same characters and a common first half, with the words of the other half in any order."""
+    words = [w.translate(str.maketrans("0123456789", "abcdefghij")) for w in passage(3, 60)]
+    return [" ".join([*words[:30], *rng.permutation(words[30:]).tolist()]) for _ in range(n)]
+
+
+def test_pairs_of_a_group_stay_in_its_task(spark, monkeypatch):
+    """Lines that all meet, have the same characters and are not similar: no more pairs than lines leave their groups, links are all found."""
+    texts = moved(np.random.default_rng(11), 70)
+    texts += [x[:-1] + "q" for x in texts[:12]]
+    seen, similar = [], lines._similar
+
+    def counted(pairs, of, similarity):
+        seen.append(pairs.count())
+        return similar(pairs, of, similarity)
+
+    monkeypatch.setattr(lines, "_similar", counted)
+    got = lines.line_dedup(table(spark, [(i, x, "s") for i, x in enumerate(texts)])).where("n_removed > 0").collect()
+    assert {r["doc_id"] for r in got} == {i for i, x in enumerate(texts) if any(lines.alike(x, y, 0.9) for y in texts[:i])} == set(range(70, 82))
+    assert len(seen) == 1, seen  # the nearest of each group; whatever is apart after them has no pairs outside its task
+
+
+def test_blocks_of_lines(spark):
+    """Groups dealt to tasks as pairs of blocks, in rounds, connect the same lines as whole groups."""
+    rng, base = np.random.default_rng(12), moved(np.random.default_rng(1), 8)
+    texts = sorted({x[:at] + "q" * int(rng.integers(1, 9)) + x[at:] for x in base for at in rng.integers(0, 200, 12).tolist()})
+    raw = "\n".join(texts).encode()
+    _, _, lid, sig, bands, marks = lines.hashed_lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    of = spark.createDataFrame([(int(a), int(s), int(w), bytearray(b.tobytes()), bytearray(m.tobytes())) for a, (s, w), b, m in
+                                zip(lid.view(np.int64), sig.view(np.int64), bands, marks)], "lid long, sig long, words long, bands binary, marks binary")
+    band = {k: bands[:, k].tolist() for k in range(lines.BANDS)}
+    groups = [(1000 * k + band[k].index(x), len(lines.PAIRS) + k, int(lid.view(np.int64)[i]), band[k].count(x)) for k in band for i, x in enumerate(band[k])]
+    members = spark.createDataFrame(groups, "gid long, kind int, lid long, size long").selectExpr("*", "lid AS comp")
+    plain = dict(zip(lid.view(np.int64).tolist(), texts))
+    known = spark.createDataFrame(list(plain.items()), "lid long, line string")
+
+    def connected(block):
+        links = [tuple(r) for part in lines.compared(lines.units_of(members, block).localCheckpoint(), of, known, 25, 0.9) for r in part.collect()]
+        assert all(lines.alike(plain[a], plain[b], 0.9) for a, b in links)
+        node, root = common.roots(*(np.array(x) for x in zip(*links)))
+        return dict(zip(node.tolist(), root.tolist())), len(links)
+
+    (whole, n), (parts, _) = connected(4096), connected(8)
+    assert whole == parts and len(whole) > 50 and n < 20 * len(texts)
+
+
+def test_threes_bound_the_distance():
+    rng, alphabet = np.random.default_rng(13), list("abcdefg é漢")
+    for _ in range(300):
+        x = list(rng.choice(alphabet, int(rng.integers(0, 60))))
+        y = list(x)
+        for _ in range(int(rng.integers(0, 6))):
+            at, kind = int(rng.integers(len(y) + 1)), int(rng.integers(3))
+            y[at:at + (kind > 0)] = rng.choice(alphabet, int(kind < 2)).tolist()
+        count = lines.threes(["".join(x), "".join(y), ""]).astype(int)
+        assert count.sum(axis=1).tolist() == [max(len(x) - 2, 0), max(len(y) - 2, 0), 0]
+        apart = count[0] - count[1]
+        assert max(apart.clip(0).sum(), (-apart).clip(0).sum()) <= 3 * brute.levenshtein("".join(x), "".join(y))
+
+
+def test_a_set_is_handed_out_once_a_turn(spark, monkeypatch):
+    """Sets that meet the same others in many groups: a turn hands out one mate of each, not one for each group."""
+    rng, base = np.random.default_rng(14), passage(7, 120)
+    rows = [(i, " ".join(changed(rng, base, int(rng.integers(2, 6))))) for i in range(120)]
+    made, meetings = spark.sparkContext.accumulator(0), jaccard._meetings
+
+    def counted(p, q, best):
+        pairs = meetings(p, q, best)
+
+        def run(found):
+            out = pairs(found)
+            made.add(out.num_rows)
+            return out
+        return run
+
+    monkeypatch.setattr(jaccard, "_meetings", counted)
+    out = jaccard.similarity_components(table(spark, [(d, t, "s") for d, t in rows])).select("_d", "n_shingles", "component")
+    assert Counter(map(tuple, out.collect())) == Counter(brute.jaccard_components(rows))
+    assert made.value < 10 * len(rows)
