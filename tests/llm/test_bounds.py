@@ -184,6 +184,33 @@ def test_blocks_of_lines(spark):
     assert whole == parts and len(whole) > 50 and n < 20 * len(texts)
 
 
+def test_lines_and_texts_stay_in_their_buckets(spark, monkeypatch):
+    """Rounds of comparisons join the lines and their texts where they lie; nothing stays behind in the catalog."""
+    texts = moved(np.random.default_rng(15), 30)
+    texts += [x[:-1] + "q" for x in texts[:6]]
+    seen, similar, compared = {}, lines._similar, lines.compared
+
+    def moves(df):
+        keys = spark.createDataFrame([(1,)], "lid long").hint("merge")
+        return str(df.join(keys, "lid")._jdf.queryExecution().executedPlan()).count("Exchange hashpartitioning(lid")
+
+    def first(pairs, of, similarity):
+        seen["first texts"] = moves(of)
+        return similar(pairs, of, similarity)
+
+    def later(units, of, known, distance, similarity):
+        seen.update({"lines": moves(of), "texts": moves(known)})
+        return compared(units, of, known, distance, similarity)
+
+    monkeypatch.setattr(lines, "_similar", first)
+    monkeypatch.setattr(lines, "compared", later)
+    before = [t.name for t in spark.catalog.listTables()]
+    got = lines.line_dedup(table(spark, [(i, x, "s") for i, x in enumerate(texts)])).where("n_removed > 0").collect()
+    assert {r["doc_id"] for r in got} == set(range(30, 36))
+    assert seen == {"first texts": 1, "lines": 1, "texts": 1}  # the other side of the join
+    assert [t.name for t in spark.catalog.listTables()] == before
+
+
 def test_threes_bound_the_distance():
     rng, alphabet = np.random.default_rng(13), list("abcdefg é漢")
     for _ in range(300):
