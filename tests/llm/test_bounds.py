@@ -245,3 +245,53 @@ def test_a_set_is_handed_out_once_a_turn(spark, monkeypatch):
     out = jaccard.similarity_components(table(spark, [(d, t, "s") for d, t in rows])).select("_d", "n_shingles", "component")
     assert Counter(map(tuple, out.collect())) == Counter(brute.jaccard_components(rows))
     assert turns and max(x.value for x in turns) <= len(rows)
+
+
+def test_lines_that_meet_by_chance_are_no_first_links(spark, monkeypatch):
+    """Lines of the same characters and some common words meet within the distance, but not closely: their texts stay in the groups' tasks, links are all found."""
+    rng = np.random.default_rng(21)
+    words = ["".join(rng.permutation(list("abcdefg"))) for _ in range(60)]
+    texts = [" ".join(rng.choice(words, 50)) for _ in range(80)]
+    texts += [x[:-1] + "q" for x in texts[:9]]
+    seen, similar = [], lines._similar
+
+    def counted(pairs, of, similarity):
+        seen.append(pairs.count())
+        return similar(pairs, of, similarity)
+
+    monkeypatch.setattr(lines, "_similar", counted)
+    got = lines.line_dedup(table(spark, [(i, x, "s") for i, x in enumerate(texts)])).where("n_removed > 0").collect()
+    assert {r["doc_id"] for r in got} == {i for i, x in enumerate(texts) if any(lines.alike(x, y, 0.9) for y in texts[:i])} == set(range(80, 89))
+    assert sum(seen) < 30, seen  # 111 within the distance
+
+
+def test_members_are_packed_with_their_lines():
+    """A line comes once, with all of its units; each unit's bucket gets the line's hashes and text, in whatever steps they are packed."""
+    texts = [" ".join(passage(i, 5 + 40 * (i % 3))).translate(str.maketrans("0123456789", "abcdefghij")) for i in range(30)] + ["é漢", "x"]
+    raw = "\n".join(texts).encode()
+    _, _, lid, sig, bands, marks = lines.hashed_lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    of = dict(zip(lid.view(np.int64).tolist(), texts))
+    units = [[{"unit": 7 * i % 11 - 5, "kind": 12, "side": i, "cross": i % 2}, {"unit": 1000 + i // 2, "kind": lines.OWN, "side": 0, "cross": 0}][:1 + i % 2] for i in range(len(texts))]
+    kind = pa.list_(pa.struct([("unit", pa.int64()), ("kind", pa.int32()), ("side", pa.int64()), ("cross", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays([pa.array(units, kind), *(pa.array(x) for x in (lid.view(np.int64), lid.view(np.int64), *sig.T.copy().view(np.int64))),
+                                        pa.array([b.tobytes() for b in bands]), pa.array([m.tobytes() for m in marks]), pa.array(texts)],
+                                       names=["units", *lines.NUMBERS, "bands", "marks", "line"])
+    want = sorted((int(common.mix(np.array([u["unit"]], np.int64).view(np.uint64))[0]), u["kind"], u["side"], bool(u["cross"]), int(x)) for x, row in zip(lid.view(np.int64), units) for u in row)
+    for limit in (1, 3000, 1 << 20):
+        got = []
+        for part in lines._dealt(4, limit)([batch]):
+            members, line = lines._members(pa.Table.from_batches([part]))
+            at = {x: i for i, x in enumerate(lid.view(np.int64).tolist())}
+            rows = [at[x] for x in members["lid"].tolist()]
+            assert line.to_pylist() == [of[x] for x in members["lid"].tolist()]
+            assert (members["bands"] == bands[rows]).all() and (members["marks"] == marks[rows]).all() and (members["sig"] == sig[rows, 0]).all()
+            got += zip(members["unit"].tolist(), members["kind"].tolist(), members["side"].tolist(), members["cross"].tolist(), members["lid"].tolist())
+        assert sorted(got) == want
+
+
+def test_shortest_texts_are_hashed():
+    """A step of a few bytes has its n-grams too."""
+    for raw in (b"a", b"ab", b"abc", b" a", b"a\nb"):
+        alone = lines.hashed_lines(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        more = lines.hashed_lines(np.frombuffer(raw + b"a longer line", np.uint8), np.array([0, len(raw), len(raw) + 13]))
+        assert all((x == y[:len(x)]).all() for x, y in zip(alone, more))
